@@ -49,7 +49,7 @@ BLOCK = 1 << 17
 class WordIds(dict):
     """Bounded cache from white-space separated parts to ids' bytes; misses go to the tokenizers library together."""
 
-    BOUND = 1_000_000
+    BOUND = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .chat import op6_chat
 from .packing import op2_packing
+from .quality import op8_quality
+from .spotsigs import op4_spotsigs
 from .warc import op10_warc
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_spotsigs": op4_spotsigs,
+    "op6_chat": op6_chat,
+    "op8_quality": op8_quality,
     "op10_warc": op10_warc,
 }
 
