@@ -7,6 +7,7 @@ from .chat import op6_chat
 from .packing import op2_packing
 from .quality import op8_quality
 from .spotsigs import op4_spotsigs
+from .suffix_dedup import op9_suffix
 from .warc import op10_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_spotsigs": op4_spotsigs,
     "op6_chat": op6_chat,
     "op8_quality": op8_quality,
+    "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
 }
 

@@ -45,6 +45,7 @@ class Scratch:
         for table in tables:
             where = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             where.getFileSystem(conf).delete(where, True)
+        self.spark._jvm.System.gc()  # Spark removes the shuffle files of finished jobs once the driver has collected them
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
