@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .chat import op6_chat
+from .jaccard_join import op1_jaccard
 from .packing import op2_packing
 from .quality import op8_quality
 from .spotsigs import op4_spotsigs
@@ -11,6 +12,7 @@ from .suffix_dedup import op9_suffix
 from .warc import op10_warc
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_spotsigs": op4_spotsigs,
