@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .chains import op7_chains
 from .chat import op6_chat
 from .jaccard_join import op1_jaccard
 from .packing import op2_packing
 from .quality import op8_quality
+from .secrets import op5_secrets
 from .spotsigs import op4_spotsigs
 from .suffix_dedup import op9_suffix
 from .warc import op10_warc
@@ -16,7 +18,9 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_spotsigs": op4_spotsigs,
+    "op5_secrets": op5_secrets,
     "op6_chat": op6_chat,
+    "op7_chains": op7_chains,
     "op8_quality": op8_quality,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
