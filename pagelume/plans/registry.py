@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import brand_queries, cell_queries, page_queries, registry_queries, table_queries
+
+_MODULES = (page_queries, cell_queries, registry_queries, table_queries, brand_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
