@@ -1,2 +1,116 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of brand candidates: scores, rankings, cascades, keys, confidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..operators import brands as B
+from .bindings import RESULTS_SQL, load, search_results
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = search_results(spark, sf_dir)
+    c = F.col
+    return s.withColumn("score", B.candidate_score(c("brand"), c("segment"), c("url"), c("title"), c("snippet"))).withColumn("direct", B.direct_score(c("brand"), c("segment"), c("url"), c("title")))
+
+
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12, C13, U16, P8"""
+    return _scored(spark, sf_dir).select("brand_id", "rank", "url", "score")
+
+
+SCORES = f"WITH {RESULTS_SQL} SELECT brand_id, rank, url, score FROM c"
+
+
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14"""
+    return B.rank_candidates(_scored(spark, sf_dir)).select("brand_id", "url", "score", "rank")
+
+
+RANKED_CTE = f"""{RESULTS_SQL}, d AS (SELECT brand_id, url, max(score) AS score FROM c WHERE score > 0 GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY score DESC, length(url), url) AS rank FROM d)"""
+RANKED = f"WITH {RANKED_CTE} SELECT brand_id, url, score, rank FROM k WHERE rank <= 8"
+
+
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D17, C15, C16, A4's inputs: rank 1 with contacts of made-up numbers per brand."""
+    best = B.best_candidate(B.rank_candidates(_scored(spark, sf_dir)))
+    some = lambda k: F.when(F.col("brand_id") % k == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    ids = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("brand_id"))
+    b = ids.join(best, "brand_id", "left").withColumn("emails", some(2)).withColumn("phones", some(3)).withColumn("inns", some(5))
+    return b.withColumn("confidence", B.confidence(F.col("score"), F.col("emails"), F.col("phones"), F.col("inns"))).withColumn("status", B.enrich_status(F.col("score"), F.col("emails")))
+
+
+def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_candidates(spark, sf_dir).select("brand_id", "url", "score", "confidence", "status")
+
+
+CONF_CTE = f"""{RANKED_CTE}, w AS (SELECT c_custkey AS brand_id, url, score, CASE WHEN score IS NULL THEN 0 ELSE least(greatest(least(score, 70), 0) + (c_custkey % 2 = 0)::INT * 12 + (c_custkey % 3 = 0)::INT * 10 + (c_custkey % 5 = 0)::INT * 8, 100) END AS confidence,
+  CASE WHEN score IS NULL THEN 'NOT_FOUND' WHEN c_custkey % 2 = 0 THEN 'FOUND_CONTACTS' ELSE 'FOUND_SITE_CHECK_CONTACTS' END AS status FROM customer LEFT JOIN k ON brand_id = c_custkey AND rank = 1)"""
+CONFIDENCES = f"WITH {CONF_CTE} SELECT brand_id, url, score, confidence, status FROM w"
+
+
+def enrichment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4"""
+    return B.enrich_summary(best_candidates(spark, sf_dir))
+
+
+SUMMARY = f'WITH {CONF_CTE} SELECT count(*) AS "rows", count(score) AS sites, count(*) FILTER (brand_id % 2 = 0) AS emails, count(*) FILTER (brand_id % 3 = 0) AS phones, count(*) FILTER (brand_id % 5 = 0) AS inns, count(*) FILTER (confidence >= 70) AS confident FROM w'
+
+
+def flat_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7"""
+    r = B.rank_candidates(_scored(spark, sf_dir), 2).groupBy("brand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", "url"))), lambda x: F.struct(x["score"].alias("score"), x["url"].alias("url"))).alias("candidates"))
+    return B.flatten_enrichment(r.withColumn("emails", F.array(F.lit("a"), F.lit("b"))))
+
+
+FLAT = f"WITH {RANKED_CTE} SELECT brand_id, string_agg(score || ': ' || url, '; ' ORDER BY rank) AS candidates, 'a; b' AS emails FROM k WHERE rank <= 2 GROUP BY brand_id"
+
+
+def direct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: guessed domains with a score of 35 and more; the guess's own words are part of what is searched."""
+    return _scored(spark, sf_dir).where("direct is not null").select("brand_id", "rank", "direct")
+
+
+DIRECT = f"WITH {RESULTS_SQL.replace(chr(39) + ' text' + chr(39), chr(39) + ' direct domain guess' + chr(39))} SELECT brand_id, rank, score + 18 AS direct FROM c WHERE score + 18 >= 35"
+
+
+def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D15"""
+    return B.first_result(_scored(spark, sf_dir)).select("brand_id", "engine_ord", "rank", "score")
+
+
+FIRST = f"WITH {RESULTS_SQL} SELECT brand_id, engine_ord, rank, greatest(score, 120 - rank) AS score FROM c WHERE score >= 1 QUALIFY row_number() OVER (PARTITION BY brand_id ORDER BY engine_ord, rank) = 1"
+
+
+def source_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D16"""
+    return B.cascade(_scored(spark, sf_dir).withColumnRenamed("engine_ord", "source_ord")).select("brand_id", "source_ord", "rank")
+
+
+CASCADE = f"""
+WITH {RESULTS_SQL}, m AS (SELECT brand_id, engine_ord, max(score) AS best FROM c GROUP BY 1, 2), x AS (SELECT brand_id, min(engine_ord) FILTER (best >= 45) AS stop FROM m GROUP BY 1)
+SELECT brand_id, engine_ord AS source_ord, rank FROM c JOIN x USING (brand_id) WHERE stop IS NULL OR engine_ord <= stop
+"""
+
+
+def brand_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocking keys of part names; tested on known brands."""
+    return load(spark, sf_dir, "part").select("p_partkey", F.explode(B.brand_domain_keys(F.concat_ws(" ", "p_name", "p_brand"))).alias("key"))
+
+
+def brand_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands named after hosts meet the pages of their domains."""
+    pages = load(spark, sf_dir, "pages")
+    label = F.regexp_extract(U.host(F.col("url")), r"([^.]+)\.[^.]+$", 1)
+    brands = pages.select(F.col("page_id").alias("brand_id"), label.alias("brand"), F.lit("x").alias("segment"))
+    return B.match_brands(brands, pages).groupBy("brand_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+MATCHES = r"WITH h AS (SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^/?#]*)', 1), '([^.]+\.[^.]+)$', 1) AS d FROM pages) SELECT a.page_id AS brand_id, count(*) AS n FROM h a JOIN h b ON b.d IN (split_part(a.d, '.', 1) || '.ru', split_part(a.d, '.', 1) || '.com') GROUP BY 1"
+
+_PAIRS = [(candidate_scores, SCORES), (ranked_candidates, RANKED), (confidences, CONFIDENCES), (enrichment_summary, SUMMARY), (flat_enrichment, FLAT), (direct_candidates, DIRECT), (first_results, FIRST), (source_cascade, CASCADE), (brand_matches, MATCHES)]
+QUERIES = {f.__name__: f for f, _ in _PAIRS} | {"brand_keys": brand_keys}
+ORACLES = {f.__name__: s for f, s in _PAIRS}

@@ -95,7 +95,8 @@ def drop_empty(grid: DataFrame) -> DataFrame:
 
 def resolve_header(headers: Column, candidates: tuple[str, ...] = INN_HEADERS, part: str = "инн") -> Column:
     """The first candidate, in priority order, among the headers; else the first header that contains the part."""
-    exact = [F.get(F.filter(headers, lambda h, c=c: norm_key(h) == c), F.lit(0)) for c in candidates]
+    named = lambda c: F.get(F.filter(headers, lambda h: norm_key(h) == c), F.lit(0))
+    exact = [named(c) for c in candidates]
     return F.coalesce(*exact, F.get(F.filter(headers, lambda h: F.contains(norm_key(h), F.lit(part))), F.lit(0)))
 
 
