@@ -29,6 +29,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: Where two white-space characters meet, a piece may reach across the places at which `_encode` cuts a text.
 RUNS = regex.compile(r"  |\n\n| \n|\n ")
 
+#: Texts of one batch that goes back to Spark.
+ROWS = 500
+
 
 def byte_characters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on in their order."""
@@ -40,7 +43,7 @@ def byte_characters() -> dict[int, str]:
 class BytePairs(dict):
     """Vocabulary and merges of one file; as a dict, a bounded cache from parts of a text to their ids' bytes."""
 
-    BOUND = 600_000
+    BOUND = 400_000
 
     def __init__(self, path: str):
         model = tokenizer_json(path)
@@ -56,7 +59,7 @@ class BytePairs(dict):
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pieces = regex.compile(PIECES)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         back = {c: b for b, c in self.letters.items()}
         size = max([*self.vocab.values(), *self.added.values()]) + 1
         self.strings = [b""] * size
@@ -105,17 +108,17 @@ class BytePairs(dict):
         return [x for x in ids if x >= 0]
 
     def part(self, text: str) -> bytes:
-        out: list[int] = []
+        out: list[bytes] = []
         words = self.words
         for piece in self.pieces.findall(text):
             if (got := words.get(piece)) is None:
-                got = self.merge(piece.encode())
+                got = array("I", self.merge(piece.encode())).tobytes()
                 if len(piece) < 64:
                     if len(words) >= self.BOUND:
                         words.clear()
                     words[piece] = got
-            out += got
-        return array("I", out).tobytes()
+            out.append(got)
+        return b"".join(out)
 
     def __missing__(self, part: str) -> bytes:
         out = self.part(part if part[:1] == "\n" else " " + part)
@@ -163,11 +166,12 @@ def _appended(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = each()
-        for batch in batches:
-            values = batch.column(columns.index(source)).to_pylist()
-            made = pa.array([convert(v) for v in values], arrow)
-            arrays = [batch.column(i) for i, c in enumerate(columns) if not (drop and c == source)]
-            yield pa.RecordBatch.from_arrays([*arrays, made], [*[c for c in columns if not (drop and c == source)], name])
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                made = pa.array([convert(v.as_py()) for v in batch.column(columns.index(source))], arrow)
+                arrays = [batch.column(i) for i, c in enumerate(columns) if not (drop and c == source)]
+                yield pa.RecordBatch.from_arrays([*arrays, made], [*[c for c in columns if not (drop and c == source)], name])
 
     fields = [f for f in df.schema.fields if not (drop and f.name == source)]
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
