@@ -20,7 +20,7 @@ SHEET = ["source_file", "sheet"]
 
 def read_grid(spark: SparkSession, path: str, columns: int = 64, recursive: bool = False) -> DataFrame:
     """CSV files, one sheet each, in exact row order; rows are parsed in parallel over files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select("value", F.col("_metadata.file_path").alias("source_file"))
     lines = files.select("source_file", F.posexplode(F.split(F.regexp_replace("value", r"(?:\r?\n)+\z", ""), r"\r?\n")).alias("i", "line"))
     schema = ", ".join(f"c{i} string" for i in range(columns))
     cells = F.array(*[F.col(f"r.c{i}") for i in range(columns)])

@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-REGISTRY = T.StructType.fromDDL("inn string, seller string, status string, seen_count bigint, first_seen_at timestamp, last_seen_at timestamp, last_source string")
-HISTORY = T.StructType.fromDDL("seller_key string, seller string, seen_count bigint, first_source string, last_source string, first_seen_at timestamp, last_seen_at timestamp, skip boolean, display_name string, inn string, status string, brand string")
+REGISTRY = "inn string, seller string, status string, seen_count bigint, first_seen_at timestamp, last_seen_at timestamp, last_source string"
+HISTORY = "seller_key string, seller string, seen_count bigint, first_source string, last_source string, first_seen_at timestamp, last_seen_at timestamp, skip boolean, display_name string, inn string, status string, brand string"
 SAMPLE_COLUMNS = ["sheet", "row_idx", "product", "article", "brand", "seller", "candidate_url", "parse_status", "parse_note"]
 #: Columns of a batch that repeat another one where they are absent (not where they are null).
 BATCH_ALIASES = {"seller_name": "seller", "nm_id": "article", "row_number": "row_idx", "sheet_name": "sheet", "product_name": "product", "brand_name": "brand", "url": "candidate_url", "status": "parse_status", "note": "parse_note"}
@@ -20,7 +19,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table; empty where there is none yet."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
