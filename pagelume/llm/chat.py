@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native import let, total
+from .native import let
 from .store import table
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -105,5 +105,23 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         digest(F.col("loss")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        total(F.transform("loss_runs", lambda r: r["skip"] + r["take"] + r["rest"])).alias("mask_chars"),
     )
+
+
+def _oracle() -> str:
+    """SQL of op6_chat. A text grows by its backslashes and control strings where its conversation needs escapes."""
+    quoted = [s.replace("'", "''") for s in CONTROL]
+    extra = " + ".join(["length(text) - length(replace(text, '\\', ''))", *[f"(length(text) - length(replace(text, '{s}', ''))) // {len(s)}" for s in quoted]])
+    clash = " OR ".join(["contains(text, '\\')", *[f"contains(text, '{s}')" for s in quoted]])
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+d AS (SELECT *, bool_or({clash}) OVER (PARTITION BY conv_id) AS clash, {extra} AS extra FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(START)} + length(role) + 1 + length(text) + CASE WHEN clash THEN extra ELSE 0 END + {len(END) + 1})::BIGINT AS formatted_chars
+FROM d GROUP BY conv_id
+"""
+
+
+ORACLE = _oracle()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .chains import op7_chains
+from .chat import ORACLE as CHAT_SQL
 from .chat import op6_chat
 from .jaccard_join import op1_jaccard
 from .packing import op2_packing
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat": CHAT_SQL}
