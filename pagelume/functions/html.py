@@ -22,7 +22,7 @@ from .dictionaries import (
     SELLER_INFO_CLASSES,
     SOCIAL_DOMAINS,
 )
-from .urls import join_url, registered_domain
+from .urls import join_url, registered_domain, seller_url
 
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
@@ -225,3 +225,12 @@ def first_of_sources(extract, *sources: Column) -> Column:
     return F.coalesce(*[extract(s) for s in sources])
 
 
+
+
+def seller_link(html: Column, base: Column, label: str = "Подробнее о продавце", allow_slug: bool = True, most: int = 12) -> Column:
+    """The seller page that a product page links to: the labelled anchor, which may have a name, else the first numbered
+    seller path among the first `most` anchors that hold '/seller/'."""
+    labelled = F.regexp_extract_all(html, F.lit(rf'(?is)<a\s(?=[^>]*aria-label="{label}")[^>]*?href="([^"]*)"'), F.lit(1))
+    plain = F.slice(F.filter(F.transform(anchor_array(html), lambda a: a["href"]), lambda h: F.contains(h, F.lit("/seller/"))), 1, most)
+    first = lambda hrefs, slug: F.get(F.filter(F.transform(hrefs, lambda h: seller_url(base, h, slug)), lambda u: u.isNotNull()), F.lit(0))
+    return F.coalesce(first(F.slice(labelled, 1, most), allow_slug), first(plain, False))

@@ -207,3 +207,9 @@ def site_contacts(pages: DataFrame, phone: str = H.PHONE) -> DataFrame:
     kept = first.withColumn("nth", nth).where(F.col("nth") <= F.col("most"))
     values = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("nth", "first.value")))), lambda x: x["value"]).alias(k)
     return kept.groupBy("domain").agg(*[values(k) for k in found])
+
+
+def term_hits(pages: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """(page_id, term) for each dictionary term that a page's text holds; the dictionary is small and known when planning."""
+    text = pages.select("page_id", F.lower(H.html_text(F.col("html"))).alias("t"))
+    return text.select("page_id", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda w: F.contains("t", w))).alias("term"))

@@ -258,8 +258,34 @@ SELECT c_custkey AS row_idx, CASE c_custkey % 4 WHEN 0 THEN 'http://shop.example
 FROM customer
 """
 
-QUERIES = {f.__name__: f for f in (page_audit, html_text, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows)}
+
+def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9, E24"""
+    return P.term_hits(load(spark, sf_dir, "pages"), TERMS)
+
+
+TERMS = ("tion", "menteux", "keit", "the and", "casino", "zzz")
+TERM_HITS = f"WITH t AS (SELECT page_id, lower({text_sql('html')}) AS t FROM pages), w AS (SELECT unnest({list(TERMS)}) AS term) SELECT page_id, term FROM t JOIN w ON contains(t, term)"
+
+
+def seller_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages made of events with a labelled, a numbered, a named or no seller link."""
+    e = load(spark, sf_dir, "events")
+    u = F.col("user_id").cast("string")
+    label = F.concat(F.lit('<a class="x" aria-label="Подробнее о продавце" href="/seller/name-'), u, F.lit('">Shop</a>'))
+    plain = F.concat(F.lit('<a href="/seller/'), F.when(F.col("event_type") == "view", F.concat(F.lit("name-"), u)).otherwise(u), F.lit('">Shop</a>'))
+    html = F.concat(F.lit("<body><p>Item</p>"), F.when(F.col("event_type") == "click", F.concat(plain, label)).when(F.col("event_type").isin("view", "purchase"), plain).otherwise(""), F.lit("</body>"))
+    base = F.lit("https://www.wildberries.ru/catalog/1/detail.aspx")
+    return e.select(F.col("event_id").alias("page_id"), html.alias("html")).select("page_id", H.seller_link(F.col("html"), base).alias("seller"), H.snippet(F.col("html"), F.lit(7)).alias("snippet"))
+
+
+SELLER_LINKS = """
+SELECT event_id AS page_id, CASE event_type WHEN 'click' THEN 'https://www.wildberries.ru/seller/name-' || user_id WHEN 'purchase' THEN 'https://www.wildberries.ru/seller/' || user_id END AS seller,
+  CASE event_type WHEN 'click' THEN 'Item Shop Shop' WHEN 'view' THEN 'Item Shop' WHEN 'purchase' THEN 'Item Shop' ELSE 'Item' END AS snippet FROM events
+"""
+
+QUERIES = {f.__name__: f for f in (page_audit, html_text, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, term_hits, seller_links)}
 ORACLES = {
     "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN,
-    "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS,
+    "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS, "term_hits": TERM_HITS, "seller_links": SELLER_LINKS,
 }
