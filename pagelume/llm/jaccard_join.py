@@ -210,6 +210,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = NGRAM, threshold
     nodes = scratch.table(nodes, "nodes")
     postings = nodes.select("node", F.explode("bands").alias("band"))
     heads = postings.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").select("band", "head")
+    heads = scratch.table(heads, "heads")  # a table, so that Spark can split the join where a band has very many nodes
     met = postings.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     comps = connected_components(met, scratch).select("node", F.col("root").alias("comp"))
     members = scratch.table(comps.join(nodes.select("node", "many", "grams", "place"), "node"), "members")
