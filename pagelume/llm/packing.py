@@ -42,6 +42,8 @@ SENTENCE, HARD = 4, 12
 HARD_EVERY = 32
 #: str.split() takes these for white space, the library doesn't.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
+#: Marks that stand alone after a word.
+MARKS = tuple(".,;:!?")
 #: Ids of one block of the dynamic programme.
 BLOCK = 1 << 17
 
@@ -49,7 +51,7 @@ BLOCK = 1 << 17
 class WordIds(dict):
     """Bounded cache from white-space separated parts to ids' bytes; misses go to the tokenizers library together."""
 
-    BOUND = 300_000
+    BOUND = 900_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,9 +74,16 @@ class WordIds(dict):
 
     def words(self, part: str) -> list[str]:
         """Pre-tokens of a part, in the byte-level alphabet."""
-        part = unicodedata.normalize("NFC", part)
-        part = part.replace("Σ", "σ").lower()
-        found = self.pieces.findall(part)
+        if part.isascii():
+            part = part.lower()
+        else:
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        if part.isalpha():
+            found = [part]
+        elif part[-1:] in MARKS and part[:-1].isalpha():
+            found = [part[:-1], part[-1]]
+        else:
+            found = self.pieces.findall(part)
         return found if part.isascii() and part.isprintable() else [w.encode().decode("latin-1").translate(self.letters) for w in found]
 
     def learn(self, parts: set[str]) -> dict[str, bytes]:
