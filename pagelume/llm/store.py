@@ -34,7 +34,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = self.path(name)
-        df.write.parquet(where)
+        df.write.option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch_path = where
         return out

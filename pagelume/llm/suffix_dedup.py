@@ -289,9 +289,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, match
     """(d, t, cover): for each id and text hash with repeated windows, the byte spans that they cover."""
     found = scratch.table(docs.mapInArrow(_triggers(match, gram), "trigger long, d long, t long, n int"), "triggers")
     often = found.groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
+    often = scratch.table(often, "often")  # tables, so that Spark can split the joins where a trigger or phrase has very many places
     wanted = found.join(often, "trigger").groupBy("d", "t").agg(F.collect_set("trigger").alias("triggers"))
     held = scratch.table(docs.join(wanted, ["d", "t"]).select("d", "t", "text", "triggers"), "held")
-    scratch.drop(found)
+    scratch.drop(found, often)
     dictionary = held.mapInArrow(_parse(match, gram, True), "trigger long, phrase binary, d long, t long, place long, n int, at int, bytes binary")
     dictionary = dictionary.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("places"), *[F.first(c).alias(c) for c in ("n", "at", "bytes")])
     dictionary = scratch.table(dictionary, "dictionary")
@@ -306,10 +307,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, match
     rows = rows.select("shard", "phrase", "at", "n", "low", "high", "bytes").repartition("shard").sortWithinPartitions("shard")
     partly = rows.mapInArrow(_equal_windows(match), "phrase binary, lo int, hi int")
     ranges = whole.unionByName(partly).groupBy("phrase").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = scratch.table(ranges, "ranges")
     places = held.mapInArrow(_parse(match, gram, False), "trigger long, phrase binary, d long, t long, place long").select("phrase", "d", "t", "place")
     spans = places.join(ranges, "phrase").select("d", "t", F.explode(F.transform("ranges", lambda r: F.struct((F.col("place") + r["lo"]).alias("a"), (F.col("place") + r["hi"] + match).alias("b")))).alias("s"))
     cover = scratch.table(spans.groupBy("d", "t").agg(F.collect_set("s").alias("cover")), "cover")
-    scratch.drop(held, dictionary)
+    scratch.drop(held, dictionary, ranges)
     return cover
 
 
