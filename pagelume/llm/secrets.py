@@ -56,7 +56,7 @@ NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|au
 FORMATS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: The cheap part of each format, looked for before the whole.
 HINTS = re.compile("AKIA|ASIA|gh[pousr]_|xox|AIza|[sr]k_|eyJ|-----BEGIN")
-ASSIGNED = re.compile(rf"(?:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}[\"']?(?P<assigned>[^\s\"',;<>]{{6,200}})", re.I)
+ASSIGNED = re.compile(rf"(?:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}[\"']?(?P<assigned>[^\s\"',;<>]{{6,}})", re.I)
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 NEAR = re.compile(rf"(?:{NAMES})", re.I)
 DIGESTS = re.compile(r"\b(?:sha\d*|md5|commit|digest|checksum|hash|etag|uuid|guid|revision|build|integrity)\b", re.I)
