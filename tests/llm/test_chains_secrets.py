@@ -92,3 +92,28 @@ def test_long_assigned_values_are_masked_whole(spark):
     docs = spark.createDataFrame([(i, f"before token={v} after") for i, v in enumerate(values)], "doc_id long, text string")
     assert {r.text for r in secrets.redact(spark, docs).collect()} == {"before token=<SECRET> after"}
     assert [f.length for r in secrets.scan(spark, docs).orderBy("doc_id").collect() for f in r.findings] == [len(v) for v in values]
+
+
+def planted(rng, lengths, rate=0.0):
+    """(texts, the places of the passage in each): texts 2 i and 2 i + 1 share a passage, some of its words replaced."""
+    new = lambda n, w="w": [f"{w}{rng.randrange(50_000)}" for _ in range(n)]
+    texts, places = [], []
+    for n in lengths:
+        passage = new(n)
+        for copy in (passage, [new(1, "e")[0] if rng.random() < rate else w for w in passage]):
+            before = new(rng.randrange(90))
+            texts.append(before + copy + new(rng.randrange(90)))
+            places.append((len(before), len(before) + n))
+    return texts, places
+
+
+def spans_of(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return chains.shared_passages(spark, docs).collect()
+
+
+def test_exact_passages_of_just_over_the_least_length(spark):
+    texts, places = planted(random.Random(12), [n for n in range(51, 71) for _ in range(10)])
+    out = spans_of(spark, texts)
+    covered = {r.doc_id for r in out if r.start_word <= places[r.doc_id][0] and r.end_word >= places[r.doc_id][1] and r.matched >= r.end_word - r.start_word - 8}
+    assert {i // 2 for i in covered} == set(range(len(texts) // 2))
