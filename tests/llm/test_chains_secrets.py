@@ -117,3 +117,16 @@ def test_exact_passages_of_just_over_the_least_length(spark):
     out = spans_of(spark, texts)
     covered = {r.doc_id for r in out if r.start_word <= places[r.doc_id][0] and r.end_word >= places[r.doc_id][1] and r.matched >= r.end_word - r.start_word - 8}
     assert {i // 2 for i in covered} == set(range(len(texts) // 2))
+
+
+def test_recall_of_edited_passages(spark):
+    for rate, lengths in ((0.05, [60, 80, 120]), (0.1, [60, 80, 120])):
+        texts, places = planted(random.Random(31), [n for n in lengths for _ in range(50)], rate)
+        found = {frozenset((r.doc_id, r.other_doc_id)) for r in spans_of(spark, texts)}
+        want = set()
+        for i in range(0, len(texts), 2):
+            x, y = (texts[j][places[j][0] : places[j][1]] for j in (i, i + 1))
+            if chains.common(x, y) >= chains.AGREE * len(x):  # by brute force over the planted places
+                want.add(frozenset((i, i + 1)))
+        assert len(want & found) >= 0.97 * len(want)
+        assert all(max(p) // 2 == min(p) // 2 for p in found)
