@@ -3,11 +3,12 @@
 Phrases: a rolling hash of GRAM bytes is computed at every place; the trigger of a window of MATCH bytes is the least hash
 in it. Which trigger a window has depends on its bytes alone, so the windows of a document fall into runs with one trigger
 each: the phrases, which overlap by MATCH bytes. The parse is the list of (document, place, phrase); the dictionary holds
-each distinct phrase once, with the number of its places in the parse. Since phrases overlap by the length of a match, the
-order of any two suffixes up to MATCH bytes is decided inside the dictionary; the parse adds how often each occurs. A
-window is repeated if its phrase occurs twice in the parse, or if an equal window (same trigger, same place in relation
-to it) stands in another phrase: the dictionary's suffixes are sorted by their first MATCH bytes and equal neighbours
-found, shard by shard, a shard being what shares a trigger and the bytes around it that its windows have in common.
+each distinct phrase once, with the number of its places in the parse. A window is repeated if its phrase occurs twice in
+the parse, or if an equal window (same trigger, same place in relation to it) stands in another phrase.
+
+No suffix array is built, neither of the dictionary nor of the parse: windows have one length, so only which are equal is
+needed and not their order. Equal windows are found by sorting their 64-bit hashes, shard by shard, a shard being what
+shares a trigger and the bytes around it that its windows have in common; equal phrases by grouping 128-bit hashes.
 
 Scale: triggers that occur once (most of a corpus) drop out after one shuffle of 24 bytes for some eighty bytes of text;
 only documents with a repeated trigger are parsed further. Copies are counted before the shuffle, so the dictionary has
@@ -237,7 +238,7 @@ def _equal_windows(match: int):
         if not rows_of:
             return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.int32())], names)
         row, offset, hashes = (np.concatenate(x) for x in (rows_of, offsets_of, hash_of))
-        order = np.argsort(hashes, kind="stable")  # the suffixes of the shards' phrases, by their first bytes
+        order = np.argsort(hashes, kind="stable")  # equal hashes of windows side by side; not an order of suffixes
         ranked = hashes[order]
         same = ranked[1:] == ranked[:-1]
         twice = np.zeros(len(row), bool)
