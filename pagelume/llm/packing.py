@@ -48,7 +48,19 @@ MARKS = tuple(".,;:!?")
 BLOCK = 1 << 17
 
 
-class WordIds(dict):
+class Known(dict):
+    """Part of a text -> bytes of its ids. A part not seen yet gets an empty bytearray and a place in `new`, to be filled."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, part: str) -> bytearray:
+        self.new[part] = self[part] = out = bytearray()
+        return out
+
+
+class WordIds:
     """Bounded cache from white-space separated parts to ids' bytes; misses go to the tokenizers library together."""
 
     BOUND = 900_000
@@ -56,6 +68,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.known = Known()
         model = json.loads(json.dumps(tokenizer_json(path)))
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
@@ -72,57 +85,53 @@ class WordIds(dict):
         letters = byte_characters()
         self.letters = {b: letters[b] for b in range(256)}
 
-    def words(self, part: str) -> list[str]:
-        """Pre-tokens of a part, in the byte-level alphabet."""
-        if part.isascii():
-            part = part.lower()
-        else:
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        if part.isalpha():
-            found = [part]
-        elif part[-1:] in MARKS and part[:-1].isalpha():
-            found = [part[:-1], part[-1]]
-        else:
-            found = self.pieces.findall(part)
-        return found if part.isascii() and part.isprintable() else [w.encode().decode("latin-1").translate(self.letters) for w in found]
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        cut = [(p, self.words(p)) for p in parts]
-        joined = " ".join([w for _, ws in cut for w in ws])
+    def spelled(self, word: str) -> str:
+        """A pre-token in the byte-level alphabet."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
+    def fill(self, parts: list[tuple[str, list[str]]], new: dict[str, bytearray]) -> None:
+        """Ids of parts that are given with their pre-tokens."""
+        joined = " ".join([self.spelled(w) for _, ws in parts for w in ws])
         ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()] if len(ids) else [0]
         raw, k = ids.tobytes(), 0
-        made = {}
-        for p, ws in cut:
-            made[p] = raw[4 * ends[k] : 4 * ends[k + len(ws)]]
+        ends = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()] if len(ids) else [0]
+        for p, ws in parts:
+            self.known[p] = made = raw[ends[k] : ends[k + len(ws)]]
             k += len(ws)
-        return made
+            if p in new:
+                new[p] += made
+
+    def learn(self) -> None:
+        """Fills what the last texts had that was new."""
+        new, self.known.new = self.known.new, {}
+        marked = [p for p in new if p[-1] in MARKS and p[:-1].isalpha()]
+        alone = [p for p in new if p.isalpha()] + list({p[:-1] for p in marked if p[:-1] not in self.known})
+        known = {*alone, *marked, *MARKS}
+        rest = [p for p in new if p not in known]
+        self.fill([*[(p, [p]) for p in alone], *[(m, [m]) for m in MARKS], *[(p, self.pieces.findall(p)) for p in rest if p[0] != " "]], new)
+        made = {p: self.known[p[:-1]] + self.known[p[-1]] for p in marked} | {p: self.added[p[1:]].to_bytes(4, "little") for p in rest if p[0] == " "}
+        for p, raw in made.items():
+            new[p] += raw
+        self.known.update(made)
 
     def split(self, text: str) -> list[str]:
-        """Parts whose ids don't depend on each other. Added tokens become parts of their own, marked by a leading blank."""
+        """Normalised parts whose ids don't depend on each other. Added tokens become parts of their own, marked by a leading blank."""
         if any(s in text for s in self.added):
             bits = self.cut.split(text)
             return [y for i, x in enumerate(bits) for y in ([" " + x] if i % 2 else self.split(x))]
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if ODD_BLANKS.search(text):
             return [p for p in regex.split(r"\p{White_Space}+", text) if p]
         return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids' bytes of each text, for some texts at a time."""
-        split = [self.split(t) for t in texts]
-        found = [list(map(self.get, parts)) for parts in split]
-        new = {p for parts, got in zip(split, found, strict=True) if None in got for p, g in zip(parts, got, strict=True) if g is None}
-        if new:
-            marked = {p for p in new if p[0] == " "}
-            made = {p: self.added[p[1:]].to_bytes(4, "little") for p in marked} | self.learn(new - marked)
-            for parts, got in zip(split, found, strict=True):
-                if None in got:
-                    got[:] = [made[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-            if len(self) + len(made) > self.BOUND:
-                self.clear()
-            if len(made) < self.BOUND:
-                self.update(made)
-        return [b"".join(got) for got in found]
+        if len(self.known) > self.BOUND:
+            self.known.clear()
+        found = [list(map(self.known.__getitem__, self.split(t))) for t in texts]
+        if self.known.new:
+            self.learn()
+        return [b"".join(x) for x in found]
 
 
 @functools.lru_cache(maxsize=2)
