@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
 
     Each round links the larger neighbours of a node to its least neighbour, then the smaller ones; the number of rounds
     grows with the logarithm of the longest path. A node's neighbours are never gathered: the least one is an aggregate
-    (partial sums first) and comes back by a join that Spark may split where it is skewed. Every round is a written table.
+    (partial sums first), a written table, so that the join that brings it back is one that Spark may split where a node has
+very many neighbours. Every round is a written table.
     """
     def state(table: DataFrame) -> tuple:
         h = F.xxhash64("u", "v")
@@ -24,13 +25,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     for _ in range(most_rounds):
         # large star: every larger neighbour of x is linked to the least of x and its neighbours
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = scratch.table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: x's smaller neighbours and x are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        lower = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = scratch.table(small, "edges")
-        scratch.drop(current)
+        scratch.drop(current, least, large, lower)
         current, now = after, state(after)
         if now == before:
             break

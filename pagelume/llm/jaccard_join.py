@@ -2,25 +2,29 @@
 
 1. Each text becomes its set of hashed n-grams (five words by default) and MinHash values. Texts with equal sets form one
    node with a multiplicity; copies are never paired.
-2. Candidates share a band of MinHash values. With BANDS x ROWS values a pair at the threshold 0.8 is missed with
-   probability (1 - 0.8 ** ROWS) ** BANDS, below one in 50,000. Candidate edges go from each node of a band's bucket to the
-   bucket's least node, and their connected components bound which nodes can be similar at all.
-3. Inside a component all pairs of blocks are compared: MinHash values are read CHUNK at a time, and after each chunk
-   the pairs are dropped whose posterior probability of reaching the threshold is below TOLERANCE (uniform prior over the
-   similarity, binomial likelihood: a Beta posterior). The survivors are verified exactly on their sets.
-4. The verified links give every node its number of links and, as spanning forests, the edges of the classes.
+2. Candidates share a band of MinHash values: a bucket. With BANDS x ROWS values a pair at the threshold 0.8 is missed with
+   probability (1 - 0.8 ** ROWS) ** BANDS, below one in 50,000. Edges from each node of a bucket to the bucket's least node
+   have connected components, outside which no nodes can be similar.
+3. The nodes of each bucket are compared, a pair only in the first bucket that it shares. A component that has no more
+   pairs of nodes than its buckets have together is compared at once instead, which moves its sets once. Either way a group
+   larger than a block is cut into blocks by hash, and pairs of blocks are compared.
+4. MinHash values are read CHUNK at a time, and after each chunk the pairs are dropped whose posterior probability of
+   reaching the threshold is below TOLERANCE (uniform prior over the similarity, binomial likelihood: a Beta posterior).
+   The survivors are verified exactly on their sets.
+5. The verified links give every node its number of links and, as spanning forests, the edges of the classes.
 
 Result: one row for each document with class_id (the least doc_id of its connected class) and n_links (other documents at
 or above the threshold).
 
-Scale: bands, multiplicities and least nodes are aggregates with partial sums; a component larger than a block is cut into
-blocks by hash, and each pair of blocks is a task's group of bounded size. Pairs are counted where they are compared, so
-only one row for each node of a pair of blocks is returned.
+Scale: bands, multiplicities and least nodes are aggregates with partial sums. A chain of weakly similar texts makes a
+large component of small buckets, whose work and shuffle are those of the buckets; texts that are all alike make one group
+of blocks, in which each pair is looked at once. Pairs are counted where they are compared, so only one row for each node
+of a pair of blocks is returned.
 
 Defined cases: words are runs without white space, lower-cased; a text of fewer words than n has its one shorter gram; a
 text without words (or null) is a class of its own without links. Rows that repeat an id are rows of their own, linked
-where their texts are alike. Null ids pass through; class_id is null where a class has null ids only. An empty table gives
-an empty result; extra columns are ignored, and kept by keep_one().
+where their texts are alike. Ids are of any orderable type; null ids pass through, and class_id is null where a class has
+null ids only. An empty table gives an empty result; extra columns are ignored, and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -45,7 +49,8 @@ CHUNK, TOLERANCE = 20, 1e-6
 #: Bytes of sets and MinHash values in a block.
 BLOCK_BYTES = 8 << 20
 
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_ADDED = mix(np.arange(501, 501 + BANDS * ROWS, dtype=np.uint64))
 _BAND_SEEDS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -56,8 +61,9 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
 
 
 def min_hashes(grams: np.ndarray) -> np.ndarray:
-    low = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
-    return np.concatenate([(low[None, :] * _SEEDS[k : k + 35, None]).min(axis=1) for k in range(0, len(_SEEDS), 35)])
+    """For each seed the least of the grams' hashes: the high half of a multiplication and an addition modulo 2 ** 64."""
+    out = [(grams[None, :] * _SEEDS[k : k + 20, None] + _ADDED[k : k + 20, None]).min(axis=1) for k in range(0, len(_SEEDS), 20)]
+    return (np.concatenate(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -84,20 +90,21 @@ def _sketch(n: int):
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 nodes, bands, sizes = [], [], []
-                for text in batch.column(2).to_pylist():
+                for text in batch.column("text").to_pylist():
                     grams = gram_set(text, n)
                     nodes.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else b"")
                     bands.append(band_keys(min_hashes(grams)).view(np.int64) if len(grams) else np.empty(0, np.int64))
                     sizes.append(len(grams))
                 offsets = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))], ["d", "t", "node", "grams", "bands"])
+                made = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "k", "t")], *made], ["doc_id", "k", "t", "node", "grams", "bands"])
 
     return run
 
 
 def _sets(n: int):
-    """The chosen texts' rows with MinHash values and sets."""
-    names = ["node", "comp", "many", "blocks"]
+    """The chosen texts' rows with MinHash values and sets, one for each of their groups."""
+    names = ["node", "many", "groups"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,13 +117,17 @@ def _sets(n: int):
     return run
 
 
-def similar_pairs(hashes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i of left, j of right, i < j in their order) whose sets reach the threshold, block by block of rows."""
+def similar_pairs(hashes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: list[int], band: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i of left, j of right, i < j in their order) whose sets reach the threshold, block by block of rows; with a
+    band, only pairs that share it and none before it."""
     sizes = np.array([len(s) for s in sets])
     for i in left:
         others = right[right > i] if left is right else right
         small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
         others = others[small >= threshold * large - 1e-9]
+        if band >= 0 and len(others):
+            shared = (hashes[others, : (band + 1) * ROWS] == hashes[i, : (band + 1) * ROWS]).reshape(len(others), band + 1, ROWS).all(axis=2)
+            others = others[shared[:, band] & ~shared[:, :band].any(axis=1)]
         equal = np.zeros(len(others), np.int32)
         for step, need in enumerate(least):
             if not len(others):
@@ -145,7 +156,7 @@ def _compare(threshold: float, tolerance: float):
         node = group.column("node").to_pylist()
         many = group.column("many").to_numpy()
         side = group.column("block").to_numpy()
-        bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
+        band, bi, bj = (group.column(c)[0].as_py() for c in ("band", "bi", "bj"))
         if len(node) < 2:
             return None
         hashes = np.frombuffer(b"".join(group.column("hashes").to_pylist()), np.uint32).reshape(len(node), -1)
@@ -160,7 +171,7 @@ def _compare(threshold: float, tolerance: float):
                 x = parent[x]
             return x
 
-        for i, found in similar_pairs(hashes, sets, left, right, threshold, least):
+        for i, found in similar_pairs(hashes, sets, left, right, threshold, least, band):
             links[i] += many[found].sum()
             links[found] += many[i]
             a = root(int(i))
@@ -177,7 +188,7 @@ def _compare(threshold: float, tolerance: float):
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            keys = list(zip(batch.column("comp").to_pylist(), batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), strict=True))
+            keys = list(zip(batch.column("g").to_pylist(), batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), strict=True))
             at = 0
             for k in range(1, len(keys) + 1):
                 if k < len(keys) and keys[k] == keys[at]:
@@ -196,53 +207,67 @@ def _compare(threshold: float, tolerance: float):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with d (the id; the least long where it is null) and t (a hash of the text)."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """docs with hashes k of the id and t of the text."""
+    return docs.withColumn("k", F.xxhash64("doc_id")).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def grouped(nodes: DataFrame, scratch: Scratch, block_bytes: int) -> DataFrame:
+    """(node, many, k, t, groups) of the nodes that may be similar to another one; groups are structs (g, band, blocks), of a
+    whole component (band -1) or of buckets."""
+    postings = nodes.select("node", "grams", F.posexplode("bands").alias("i", "band"))
+    size = 8 * F.col("grams") + 4 * BANDS * ROWS
+    heads = postings.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.sum(size).alias("bytes")).where("n > 1")
+    heads = scratch.table(heads, "heads")  # a table, so that Spark can split the join where a band has very many nodes
+    met = postings.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    comps = scratch.table(connected_components(met, scratch).select("node", F.col("root").alias("comp")), "comps")
+    blocks = F.ceil(F.col("bytes") / block_bytes).cast("int")
+    sums = comps.join(nodes.select("node", "grams"), "node").groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"), F.sum(size).alias("bytes"))
+    buckets = heads.join(comps, F.col("head") == F.col("node")).groupBy("comp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    plan = sums.join(buckets, "comp").select("comp", (F.col("pairs") < F.col("nodes").cast("double") * F.col("nodes")).alias("by_bucket"), blocks.alias("blocks"))
+    plan = scratch.table(plan, "plan")
+    members = scratch.table(comps.join(plan, "comp"), "members")
+    at_once = members.where("not by_bucket").select("node", F.array(F.struct(F.col("comp").alias("g"), F.lit(-1).alias("band"), "blocks")).alias("groups"))
+    split = postings.join(members.where("by_bucket").select("node"), "node", "left_semi").join(heads, "band")
+    split = split.groupBy("node").agg(F.collect_list(F.struct(F.col("band").cast("string").cast("binary").alias("g"), F.col("i").alias("band"), blocks.alias("blocks"))).alias("groups"))
+    return at_once.unionByName(split).join(nodes.select("node", "many", "place.k", "place.t"), "node")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """d, t (as in keyed()), class_node (a key of the class), class_id, n_links for each row of docs."""
+    """doc_id, k, t (as in keyed()), class_node (a key of the class), class_id, n_links for each row of docs."""
     scratch = Scratch(spark, "jaccard")
-    docs = keyed(docs.select("doc_id", "text")).select("d", "t", "text")
-    sketch = scratch.table(docs.mapInArrow(_sketch(n), "d long, t long, node binary, grams long, bands array<long>"), "sketch")
-    real = F.when(F.col("d") != -(2**63), F.col("d"))
-    nodes = sketch.where(F.length("node") > 0).groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min(real).alias("first_id"), F.min(F.struct("d", "t")).alias("place"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    docs = keyed(docs.select("doc_id", "text")).select("doc_id", "k", "t", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketch = scratch.table(docs.mapInArrow(_sketch(n), f"doc_id {kind}, k long, t long, node binary, grams long, bands array<long>"), "sketch")
+    nodes = sketch.where(F.length("node") > 0).groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("first_id"), F.min(F.struct("k", "t")).alias("place"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     nodes = scratch.table(nodes, "nodes")
-    postings = nodes.select("node", F.explode("bands").alias("band"))
-    heads = postings.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").select("band", "head")
-    heads = scratch.table(heads, "heads")  # a table, so that Spark can split the join where a band has very many nodes
-    met = postings.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    comps = connected_components(met, scratch).select("node", F.col("root").alias("comp"))
-    members = scratch.table(comps.join(nodes.select("node", "many", "grams", "place"), "node"), "members")
-    blocks = members.groupBy("comp").agg(F.ceil(F.sum(8 * F.col("grams") + 4 * BANDS * ROWS) / block_bytes).cast("int").alias("blocks"))
-    chosen = members.join(blocks, "comp").select("node", "comp", "many", "blocks", "place.d", "place.t")
+    chosen = scratch.table(grouped(nodes, scratch, block_bytes), "chosen")
     # rows that repeat an id and its text count once here; their number is in `many`
-    texts = docs.dropDuplicates(["d", "t"]).join(chosen, ["d", "t"]).select("node", "comp", "many", "blocks", "text")
-    rows = texts.mapInArrow(_sets(n), "node binary, comp binary, many long, blocks int, hashes binary, grams binary")
+    texts = docs.select("k", "t", "text").dropDuplicates(["k", "t"]).join(chosen, ["k", "t"]).select("node", "many", "groups", "text")
+    rows = texts.mapInArrow(_sets(n), "node binary, many long, groups array<struct<g:binary,band:int,blocks:int>>, hashes binary, grams binary")
+    rows = rows.select("node", "many", "hashes", "grams", F.inline("groups"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "comp", "many", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "hashes", "grams")
-    rows = rows.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+    rows = rows.select("g", "band", "node", "many", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "hashes", "grams")
+    rows = rows.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj")
     links = scratch.table(rows.mapInArrow(_compare(threshold, tolerance), "node binary, links long, root binary"), "links")
     trees = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     found = nodes.select("node", "many", "first_id").join(counts, "node", "left").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = found.groupBy("root").agg(F.min("first_id").alias("class_id"))
     found = found.join(classes, "root").select("node", F.col("root").alias("class_node"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
-    linked = sketch.where(F.length("node") > 0).select("d", "t", "node").join(found, "node").select("d", "t", "class_node", "class_id", "n_links")
-    alone = sketch.where(F.length("node") == 0).select("d", "t", F.concat(F.lit("alone "), F.col("d").cast("string")).cast("binary").alias("class_node"), real.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    linked = sketch.where(F.length("node") > 0).select("doc_id", "k", "t", "node").join(found, "node").select("doc_id", "k", "t", "class_node", "class_id", "n_links")
+    alone = sketch.where(F.length("node") == 0).select("doc_id", "k", "t", F.concat(F.lit("alone "), F.col("k").cast("string")).cast("binary").alias("class_node"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs, one row of each class: the one with the least doc_id (null ids first, equal rows once)."""
     columns = docs.columns
-    first = jaccard_join(spark, docs).groupBy("class_node").agg(F.min(F.struct("d", "t")).alias("p")).select("p.d", "p.t")
+    first = jaccard_join(spark, docs).groupBy("class_node").agg(F.min(F.struct("doc_id", "k", "t")).alias("p")).select("p.k", "p.t")
     plain = [f"c{i}" for i in range(len(columns))]
-    rows = keyed(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])).select("d", "t", *plain)
-    return rows.dropDuplicates(["d", "t"]).join(first, ["d", "t"], "left_semi").select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)])
+    rows = keyed(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])).select("k", "t", *plain)
+    return rows.dropDuplicates(["k", "t"]).join(first, ["k", "t"], "left_semi").select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)])
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = jaccard_join(spark, table(spark, sf_dir, "documents"))
-    return joined.select(F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "class_id", "n_links")
+    return jaccard_join(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
