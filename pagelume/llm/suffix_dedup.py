@@ -2,22 +2,26 @@
 
 Phrases: a rolling hash of GRAM bytes is computed at every place; the trigger of a window of MATCH bytes is the least hash
 in it. Which trigger a window has depends on its bytes alone, so the windows of a document fall into runs with one trigger
-each: the phrases, which overlap by MATCH bytes. The parse is the list of (document, place, phrase); the dictionary holds
-each distinct phrase once, with the number of its places in the parse. A window is repeated if its phrase occurs twice in
-the parse, or if an equal window (same trigger, same place in relation to it) stands in another phrase.
+each: the phrases. The parse is the list of (document, place, phrase); the dictionary holds each distinct phrase once, with
+the number of its places in the parse. All windows of a phrase with two places are repeated.
 
-No suffix array is built, neither of the dictionary nor of the parse: windows have one length, so only which are equal is
-needed and not their order. Equal windows are found by sorting their 64-bit hashes, shard by shard, a shard being what
-shares a trigger and the bytes around it that its windows have in common; equal phrases by grouping 128-bit hashes.
+Order: equal windows of different phrases have one trigger at one place in relation to it, so the corpus order is needed
+only among the phrases of a trigger, and only to the depth of a window. A window is a suffix of what its phrase has before
+the trigger, followed by a prefix of what the parse spells from the trigger on. Two suffix arrays are built for each trigger:
+of the parts before it (the dictionary's suffixes that end there, in order of their reversed bytes) and of the parts from it on
+(the parse's continuations, as far as a window reaches), each with the common lengths of neighbours. At depth s the windows
+with s bytes before the trigger are equal where both arrays have them in one interval of common lengths of at least s and
+MATCH - s. So equality is decided by bytes, and the two orders combine as an order of corpus windows.
 
 Scale: triggers that occur once (most of a corpus) drop out after one shuffle of 24 bytes for some eighty bytes of text;
 only documents with a repeated trigger are parsed further. Copies are counted before the shuffle, so the dictionary has
-one row for any number of them. A shard holds phrases that share at least 120 bytes around the trigger; a trigger with very
-many distinct phrases (a frequent short line) is cut into finer shards, of phrases that share at least 190.
+one row for any number of them. Phrases of a trigger are sorted in two shards, of phrases that share at least 120 bytes around
+it. A trigger with more than HOT distinct phrases (a frequent line in ever other surroundings) is never gathered: its windows
+become rows of 128-bit hashes that Spark counts with partial sums, so nothing but the number of rows grows.
 
 Defined cases: null text is empty; a text under MATCH bytes is kept; rows that repeat an id and text are each other's
 copies; matches never cross documents; a cut inside a UTF-8 character drops the rest of the character in the text form; an
-empty table gives an empty result; extra columns pass through.
+empty table gives an empty result; ids of any type; extra columns pass through, those named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -40,8 +44,11 @@ GRAM = 48
 #: Bytes of text that one vectorised step takes; places in it fit into PLACE_BITS.
 STEP = 1 << 19
 PLACE_BITS = 20
-#: A trigger with more distinct phrases than this is cut into FINE shards instead of COARSE.
-HOT, COARSE, FINE = 2_000, 2, 17
+#: Shards of a trigger's windows, by their place in relation to it.
+SHARDS = 2
+#: A trigger with more distinct phrases than this has its windows counted as rows.
+HOT = 20_000
+RESULTS = ("_n_bytes", "_n_removed", "_n_spans", "_kept")
 
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
@@ -200,57 +207,77 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int, rows: int = 20_000) ->
         yield pa.Table.from_batches(held)
 
 
+def suffix_array(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings, and the length that each in this order has in common with the one before it (0 for the first)."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    sizes = np.array([len(parts[i]) for i in order])
+    width = int(sizes.max(initial=0))
+    table_ = np.zeros((len(parts), width + 1), np.uint8)
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    table_[np.repeat(np.arange(len(parts)), sizes), at] = np.frombuffer(b"".join([parts[i] for i in order]), np.uint8)
+    table_[:, width] = np.arange(len(parts)) % 2  # so that equal rows differ here
+    common = np.zeros(len(parts), np.int64)
+    common[1:] = np.minimum((table_[1:] != table_[:-1]).argmax(axis=1), np.minimum(sizes[1:], sizes[:-1]))
+    return np.array(order, np.int64), common
+
+
+def equal_windows(group: np.ndarray, before: list[bytes], after: list[bytes], low: np.ndarray, high: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, s) of the windows of s bytes of `before` (its last ones) and match - s of `after` that two rows of a group have;
+    s is from low to high."""
+    keys = [int(g).to_bytes(8, "big") for g in group]
+    k = len(keys)
+    place, common, most = [], [], []
+    for parts in ([g + x[::-1] for g, x in zip(keys, before, strict=True)], [g + x for g, x in zip(keys, after, strict=True)]):
+        order, shared = suffix_array(parts)
+        shared -= 8  # the group's key; less than nothing between groups
+        where = np.empty(k, np.int64)
+        where[order] = np.arange(k)
+        best = np.empty(k, np.int64)
+        best[order] = np.maximum(shared, np.append(shared[1:], -8))
+        place.append(where), common.append(shared), most.append(best)
+    low, high = np.maximum(low, match - most[1]), np.minimum(high, most[0])
+    rows, depths = [], []
+    able = np.flatnonzero(low <= high)
+    for s in range(int(low[able].min(initial=match)), int(high[able].max(initial=-1)) + 1):
+        at = able[(low[able] <= s) & (s <= high[able])]
+        if len(at) < 2:
+            continue
+        left = np.cumsum(common[0] < s)[place[0][at]]
+        right = np.cumsum(common[1] < match - s)[place[1][at]]
+        both = left * (k + 1) + right
+        order = np.argsort(both, kind="stable")
+        same = both[order[1:]] == both[order[:-1]]
+        twice = np.zeros(len(at), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        rows.append(at[twice]), depths.append(np.full(twice.sum(), s))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *depths])
+
+
 def _equal_windows(match: int):
     """(phrase, lo, hi): runs of a phrase's windows that stand in another phrase of the same shard too."""
 
     def solve(whole: pa.Table) -> pa.RecordBatch:
         key = whole.column("shard").to_numpy()
-        at, n = whole.column("at").to_numpy().astype(np.int64), whole.column("n").to_numpy().astype(np.int64)
-        low, high = whole.column("low").to_numpy().astype(np.int64), whole.column("high").to_numpy().astype(np.int64)
         group = np.cumsum(np.append(0, key[1:] != key[:-1]))
-        alone = np.bincount(group)[group] < 2
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        whole, group = whole.take(pa.array(several)), group[several]
+        at, n, low, high = (whole.column(c).to_numpy().astype(np.int64) for c in ("at", "n", "low", "high"))
         spans = whole.column("bytes").to_pylist()
-        rows_of, offsets_of, hash_of = [], [], []
-        k = 0
-        while k < len(spans):
-            first, size, chunk = k, 0, []
-            while k < len(spans) and size < STEP - 4 * match:
-                chunk.append(b"" if alone[k] else spans[k])
-                size += len(chunk[-1])
-                k += 1
-            data = np.frombuffer(b"".join(chunk), np.uint8)
-            if not len(data):
-                continue
-            prefix = prefix_hashes(data)
-            rows = np.arange(first, k)[~alone[first:k]]
-            sizes = np.array([len(c) for c in chunk])
-            base = (np.cumsum(sizes) - sizes)[rows - first]
-            lo = np.maximum(0, at[rows] - high[rows])  # windows of this shard, as places in the phrase
-            hi = np.minimum(n[rows] - 1, at[rows] - low[rows])
-            many = np.maximum(0, hi - lo + 1)
-            row = np.repeat(rows, many)
-            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            hashes = span_hashes(prefix, np.repeat(base, many) + offset, match)
-            # the place in relation to the trigger is part of what must be equal
-            hashes ^= mix((group[row].astype(np.uint64) << np.uint64(16)) | (at[row] - offset).astype(np.uint64))
-            rows_of.append(row), offsets_of.append(offset), hash_of.append(hashes)
-        names = ["phrase", "lo", "hi"]
-        if not rows_of:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.int32())], names)
-        row, offset, hashes = (np.concatenate(x) for x in (rows_of, offsets_of, hash_of))
-        order = np.argsort(hashes, kind="stable")  # equal hashes of windows side by side; not an order of suffixes
-        ranked = hashes[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(row), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        row, offset = row[twice], offset[twice]
+        before = [x[:i] for x, i in zip(spans, at.tolist(), strict=True)]
+        after = [x[i:] for x, i in zip(spans, at.tolist(), strict=True)]
+        row, depth = equal_windows(group, before, after, np.maximum(low, at - n + 1), np.minimum(high, at), match)
+        offset = at[row] - depth
+        order = np.lexsort((offset, row))
+        row, offset = row[order], offset[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row)) - 1
-        ids = [whole.column("phrase")[int(i)].as_py() for i in row[first]]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(offset[first].astype(np.int32)), pa.array(offset[last].astype(np.int32))], names)
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        ids = whole.column("phrase").take(pa.array(row[first])).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, pa.array(offset[first].astype(np.int32)), pa.array(offset[last].astype(np.int32))], ["phrase", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _groups(batches, 0):
@@ -259,6 +286,20 @@ def _equal_windows(match: int):
     return run
 
 
+def _window_rows(match: int):
+    """(window, phrase, place): a row for each window of each phrase, with a hash of 128 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 64):
+            phrases_, counts, spans = batch.column("phrase"), batch.column("n").to_pylist(), batch.column("bytes").to_pylist()
+            hashes = [xxhash.xxh3_128_digest(x[i : i + match]) for x, n in zip(spans, counts, strict=True) for i in range(n)]
+            rows = np.repeat(np.arange(len(counts)), counts)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), phrases_.take(pa.array(rows)), pa.array(place)], ["window", "phrase", "place"])
+
+    return run
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -298,30 +339,34 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, match
     dictionary = dictionary.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("places"), *[F.first(c).alias(c) for c in ("n", "at", "bytes")])
     dictionary = scratch.table(dictionary, "dictionary")
     whole = dictionary.where("places > 1").select("phrase", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
-    several = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = scratch.table(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
     width = match - gram + 1
-    shards = F.when(F.col("m") > HOT, FINE).otherwise(COARSE)
-    rows = dictionary.join(several, "trigger").withColumn("shards", shards).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = rows.withColumn("low", F.expr(f"cast({width} * j div shards as int)")).withColumn("high", F.expr(f"cast({width} * (j + 1) div shards as int) - 1"))
+    rows = dictionary.join(several.where(F.col("m") <= HOT), "trigger").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+    rows = rows.withColumn("low", F.expr(f"cast({width} * j div {SHARDS} as int)")).withColumn("high", F.expr(f"cast({width} * (j + 1) div {SHARDS} as int) - 1"))
     rows = rows.where("least(high, at) >= greatest(low, at - n + 1)")
     rows = rows.withColumn("shard", F.xxhash64("trigger", "j", F.expr(f"substring(bytes, at - low + 1, {match} - high + low)")))
     rows = rows.select("shard", "phrase", "at", "n", "low", "high", "bytes").repartition("shard").sortWithinPartitions("shard")
     partly = rows.mapInArrow(_equal_windows(match), "phrase binary, lo int, hi int")
+    hot = dictionary.join(several.where(F.col("m") > HOT), "trigger", "left_semi").select("phrase", "n", "bytes", "places")
+    windows = hot.mapInArrow(_window_rows(match), "window binary, phrase binary, place int")
+    again = scratch.table(windows.groupBy("window").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("window"), "windows")
+    open_ = hot.where("places = 1").mapInArrow(_window_rows(match), "window binary, phrase binary, place int")
+    partly = partly.unionByName(open_.join(again, "window").select("phrase", F.col("place").alias("lo"), F.col("place").alias("hi")))
     ranges = whole.unionByName(partly).groupBy("phrase").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     ranges = scratch.table(ranges, "ranges")
     places = held.mapInArrow(_parse(match, gram, False), "trigger long, phrase binary, d long, t long, place long").select("phrase", "d", "t", "place")
     spans = places.join(ranges, "phrase").select("d", "t", F.explode(F.transform("ranges", lambda r: F.struct((F.col("place") + r["lo"]).alias("a"), (F.col("place") + r["hi"] + match).alias("b")))).alias("s"))
     cover = scratch.table(spans.groupBy("d", "t").agg(F.collect_set("s").alias("cover")), "cover")
-    scratch.drop(held, dictionary, ranges)
+    scratch.drop(held, dictionary, several, again, ranges)
     return cover
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.withColumn("d", F.xxhash64("doc_id")).withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, match: int = MATCH, gram: int = GRAM, as_text: bool = True) -> DataFrame:
-    """docs with _n_bytes, _n_removed, _n_spans, _kept (the text without repeated bytes, or its SHA-256)."""
+def _removed(spark: SparkSession, docs: DataFrame, match: int, gram: int, as_text: bool) -> DataFrame:
+    """The columns of docs as c0, c1, ... and RESULTS."""
     scratch = Scratch(spark, "suffix")
     cover = repeated_spans(spark, keyed(docs.select("doc_id", "text")).select("d", "t", "text"), scratch, match, gram)
     columns = docs.columns
@@ -329,8 +374,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, match: int = MATCH, gra
     key = keyed(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])).select("d", "t", *plain)
     joined = key.join(cover, ["d", "t"], "left").select(*plain, "cover")
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField("_n_bytes", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_n_spans", T.LongType()), T.StructField("_kept", T.StringType())])
-    out = joined.mapInArrow(_remove(plain, columns.index("text"), len(columns), as_text), schema)
-    return out.select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)], "_n_bytes", "_n_removed", "_n_spans", "_kept")
+    return joined.mapInArrow(_remove(plain, columns.index("text"), len(columns), as_text), schema)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, match: int = MATCH, gram: int = GRAM, as_text: bool = True) -> DataFrame:
+    """docs with _n_bytes, _n_removed, _n_spans, _kept (the text without repeated bytes, or its SHA-256)."""
+    out = _removed(spark, docs, match, gram, as_text)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in RESULTS], *RESULTS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
+    """docs, their texts without repeated bytes."""
+    out = _removed(spark, docs, match, gram, True)
+    return out.select(*[F.col("_kept" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def corpus(rng, alphabet, size):
     return [*texts, None, "", "x" * 3 * size, texts[3], "ab" * size, new(size // 2) * 3, "x" * (size // 2)]
 
 
-@pytest.mark.parametrize("match,gram,hot,step", [(200, 48, 2000, 1 << 19), (40, 10, 2000, 512), (40, 12, 0, 1 << 19)])
+@pytest.mark.parametrize("match,gram,hot,step", [(200, 48, 20_000, 1 << 19), (40, 10, 20_000, 512), (40, 12, 0, 1 << 19), (40, 12, 5, 1 << 19)])
 def test_equals_brute_force(spark, monkeypatch, match, gram, hot, step):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "STEP", step)
@@ -61,3 +61,30 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r._n_removed) for r in out) == [(0, 0), (1, 260), (1, 260), (2, 0), (3, 200)]
     assert [r._kept for r in out if r.doc_id == 3] == ["z"] and out[0].asDict().keys() >= {"doc_id", "text"}
     assert suffix_dedup.remove_repeats(spark, docs.limit(0)).count() == 0
+
+
+def test_suffix_array():
+    rng = random.Random(6)
+    for _ in range(50):
+        parts = [bytes(rng.choices(b"ab\0", k=rng.randrange(7))) for _ in range(rng.randrange(1, 30))]
+        order, common = suffix_dedup.suffix_array(parts)
+        ranked = [parts[i] for i in order]
+        assert ranked == sorted(parts) and common[0] == 0
+        for x, y, n in zip(ranked, ranked[1:], common[1:]):
+            assert x[:n] == y[:n] and (len(x) == n or len(y) == n or x[n] != y[n])
+
+
+def test_a_line_in_very_many_surroundings(spark, monkeypatch):
+    """One line before and after thousands of different texts; no task may gather its phrases."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 500)
+    rng = random.Random(3)
+    new = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    line = new(250)
+    rows = [(str(i), new(rng.randrange(200, 300)) + line + new(rng.randrange(200, 300)), "k") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _kept string").repartition(8)
+    out = suffix_dedup.remove_repeats(spark, docs)
+    assert out.columns == ["doc_id", "text", "_n_bytes", "_n_removed", "_n_spans", "_kept"]
+    got = out.collect()
+    assert len(got) == 4000 and all(r._n_spans == 1 and 250 <= r._n_removed <= 262 for r in got)
+    kept = suffix_dedup.without_repeats(spark, docs.limit(50))
+    assert kept.columns == docs.columns and {r._kept for r in kept.collect()} == {"k"}
