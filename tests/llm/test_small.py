@@ -160,16 +160,83 @@ def test_quality_rejects_what_labels_show(spark):
 def test_spotsigs(spark):
     texts = ["The quick brown fox saw the lazy dog in a green park of tall trees and old stones " * 3, "completely other words without common ones " * 4, "", None, "!!!", "The quick brown fox saw the lazy dog in a green park of tall trees and old stones " * 3, "die alte Stadt und der neue Markt mit vielen Menschen in den engen Gassen", "the " * 5000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit(0))
-    rows = {r.doc_id: r for r in spotsigs.with_next(docs, cell_rows=2).withColumn("f", spotsigs.fingerprint(F.col("sigs"))).collect()}
+    rows = {r.doc_id: r for r in spotsigs.with_next(spark, docs, cell_rows=2).withColumn("f", spotsigs.fingerprint(F.col("sigs"))).collect()}
     assert len(rows) == len(texts)
     for i in range(len(texts)):
         assert rows[i].next_text == (texts[(i - 1) % len(texts)] or "")
         assert rows[i].next_sigs == rows[(i - 1) % len(texts)].sigs
     assert rows[0].f == rows[5].f != "" and rows[2].f == rows[3].f == "" and rows[4].f != ""
-    assert spotsigs.with_next(docs.limit(0)).count() == 0 and spotsigs.with_next(docs.where("doc_id = 1")).first().next_text == texts[1]
-
-
-def test_spot_pairs_are_all_pairs(spark):
+    assert spotsigs.with_next(spark, docs.limit(0)).count() == 0 and spotsigs.with_next(spark, docs.where("doc_id = 1")).first().next_text == texts[1]
+
+
+def test_order_of_odd_ids(spark):
+    """Outliers, strings, null and repeated ids: each row's successor is the next one in order."""
+    numbers = [*range(40), 2**62, -(2**63), 2**63 - 1]
+    for ids, kind in ((numbers, "long"), ([f"id{i:05d}" for i in numbers[:40]], "string")):
+        rows = [(i, f"text {i}") for i in ids] + [(ids[3], "a repeated id"), (None, "no id"), (ids[5], f"text {ids[5]}")]
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+        got = spotsigs.with_next(spark, docs, cell_rows=3).collect()
+        assert len(got) == len(rows)
+        after = {}
+        for r in got:
+            after.setdefault((r.doc_id, r.text), []).append(r.next_text)
+        order = sorted(ids, reverse=True)
+        for i, j in zip(order, order[1:]):
+            own, texts = f"text {i}", {f"text {j}", *(["a repeated id"] if ids[3] in (i, j) else [])}
+            if i == ids[5]:
+                assert sorted(after[i, own]) == sorted([own, f"text {j}"])
+            else:
+                assert after[i, own][0] in texts
+        assert after[None, "no id"] == [f"text {order[0]}"] and {*after[ids[3], "a repeated id"], *after[ids[3], f"text {ids[3]}"]} >= {f"text {ids[2]}"}
+
+
+def python_signatures(text, anchors=spotsigs.ANCHORS):
+    """The chains of a text as word tuples, step by step."""
+    words = [w for w in re.split(r"[^\w]|_", text.lower()) if w]
+    stop = set(anchors)
+    content, marks = [], []
+    for k, w in enumerate(words):
+        if w not in stop:
+            content.append(w)
+            marks.append(words[k - 1] if k and words[k - 1] in stop else None)
+    return [(m, w, content[i + 1] if i + 1 < len(content) else None, content[i + 2] if i + 2 < len(content) else None) for i, (m, w) in enumerate(zip(marks, content))]
+
+
+def test_signatures_follow_anchors(spark):
+    """Every anchored chain has its own hash, equal chains the same; chains without anchors are a fixed part of all."""
+    rng = random.Random(2)
+    words = ["the", "of", "and", "der", "que", *[f"c{i}" for i in range(60)]]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 120))) + "." for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    probes = sorted({c[:3] for t in texts for c in python_signatures(t) if c[0]}, key=str)
+    # an anchored chain's hash is that of "anchor:word" and the next content word; the last word of a text has none after it
+    table_ = spark.createDataFrame([(f"{a}:{b}", c) for a, b, c in probes], "x string, y string").select("x", "y", F.xxhash64("x", "y").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("h"))
+    known = {(r.x, r.y): r.h for r in table_.collect()}
+    free = spark.createDataFrame([(w,) for w in words], "w string").where(F.xxhash64("w").bitwiseAND(F.lit(7).cast("long")) == 0)
+    free = {r.w for r in free.collect()}
+    for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect():
+        chains = python_signatures(texts[r.doc_id])
+        want = {known[f"{a}:{b}", c] for a, b, c, _ in chains if a}
+        own = {(b, c, d) for a, b, c, d in chains if not a and b in free}
+        assert want <= set(r.s) and len(set(r.s)) == len(want) + len(own) + (not chains or not want | own)
+
+
+def test_pruning_spares_only_unlike_sets(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        a = sorted(rng.sample(range(500), rng.randrange(60)))
+        b = sorted({*rng.sample(a, rng.randrange(len(a) + 1)), *rng.sample(range(500), rng.randrange(60))})
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    for threshold in (0.05, 0.3, 0.8):
+        for r in df.select("a", "b", spotsigs.pruned_likeness(F.col("a"), F.col("b"), threshold).alias("p")).collect():
+            a, b = set(r.a), set(r.b)
+            true = len(a & b) / len(a | b) if a | b else 1.0
+            assert abs(r.p.likeness - (true if true >= threshold else 0.0)) < 1e-9 and not (r.p.pruned and true >= threshold)
+
+
+def test_spot_join_is_all_pairs(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
     texts = []
@@ -182,10 +249,10 @@ def test_spot_pairs_are_all_pairs(spark):
     texts += [texts[0], "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = {r.doc_id: frozenset(r.s) for r in docs.select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()}
-    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
-    members, pairs = spotsigs.spot_pairs(docs, 0.7)
-    assert {(r.doc_id, r.class_id) for r in members.collect()} == {(i, first[s]) for i, s in sets.items()}
-    reps = sorted(set(first.values()))
-    want = {frozenset((a, b)) for a in reps for b in reps if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
-    got = [frozenset((r.a, r.b)) for r in pairs.collect()]
-    assert set(got) == want and len(got) == len(want) > 5
+    alike = lambda a, b: a == b or bool(a and b and len(a & b) >= 0.7 * len(a | b))
+    links = {i: [j for j in sets if j != i and alike(sets[i], sets[j])] for i in sets}
+    root = {i: i for i in sets}
+    for _ in sets:
+        root = {i: min([root[i], *[root[j] for j in links[i]]]) for i in sets}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.spot_join(spark, docs, 0.7).collect()}
+    assert got == {i: (root[i], len(links[i])) for i in sets}
