@@ -15,7 +15,12 @@ from pagelume.llm.packing import pack
 from pagelume.llm.quality import apply_quality
 from pagelume.llm.secrets import redact
 from pagelume.llm.store import Scratch, table
-from pagelume.llm.suffix_dedup import remove_repeats
+from pagelume.llm.suffix_dedup import without_repeats
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars of the texts that they have now."""
+    return docs.select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +32,11 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeats(spark, docs)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return cleaned.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return counted(without_repeats(spark, docs))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = redact(spark, docs)
-    return masked.select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return counted(redact(spark, docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
