@@ -4,11 +4,14 @@ Counts come from each whole text. On the labelled documents, each rule (a measur
 document) is tried at the cutoffs of a fixed grid, from the mildest to the strictest. A cutoff is certified while the
 exact binomial test rejects, at level delta / (strata x rules), that more than alpha / rules of the stratum's good
 documents lie beyond it: P(Bin(n, alpha / rules) <= rejected good ones). Testing in this fixed order and stopping at the
-first failure needs no further correction, so with probability 1 - delta every stratum loses at most a share alpha of its
-good documents. Among certified cutoffs the strictest is taken whose rejects are mostly bad; else the rule is off.
+first failure needs no further correction, and the split of delta over strata and rules (Bonferroni) corrects for their
+number, so with probability 1 - delta every stratum loses at most a share alpha of its good documents. Among certified
+cutoffs the strictest is taken whose rejects are mostly bad; else the rule is off. With ALPHA = 0.05 a rule needs some 480
+good labelled documents in a stratum. quality_cutoffs() returns each cutoff with the labels and the bound it rests on.
 
-Scale: one pass over the texts, no shuffle of text. Labelled counts are partial sums of at most strata x rules x grid
-rows, of which only the chosen cutoffs (strata x rules numbers at most, both parameters) reach the driver.
+Scale: one pass over the texts, no shuffle of text; apply_quality() writes the rows with their counts once. Labelled counts
+are partial sums of at most strata x rules x grid rows, of which only the chosen cutoffs (strata x rules numbers at most,
+both parameters) reach the driver.
 
 Defined cases: null text has no words (base_failed); an empty text likewise; null or other languages form the stratum
 'other'; a stratum without enough labels has no cutoff and rejects nothing beyond the base; repeated rows are judged each;
@@ -28,7 +31,7 @@ from .store import Scratch, table
 
 SYMBOLS = "#*$%&|<>"
 STRATA = ("en", "fr", "de", "es")
-ALPHA, DELTA = 0.005, 0.05
+ALPHA, DELTA = 0.05, 0.05
 GRID = 200
 #: A rule is used only where, among what its cutoff rejects, bad documents are at least this many times the good ones.
 ODDS = 4
@@ -100,7 +103,8 @@ def binomial_below(n: Column, k: Column, p: float) -> Column:
 
 
 def certified_cutoffs(counted: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, step): documents whose measure reaches step / GRID are rejected. `counted` has doc_id, lang, q."""
+    """(stratum, rule, step, n_good, n_lost, log_p): documents whose measure reaches step / GRID are rejected; of n_good good
+    labelled ones n_lost are, which has the log probability log_p if the true share is alpha / rules. `counted` has doc_id, lang, q."""
     rules = measures()
     share = alpha / len(rules)
     level = math.log(delta / (len(rules) * (len(strata) + 1)))
@@ -110,9 +114,11 @@ def certified_cutoffs(counted: DataFrame, labels: DataFrame, strata: tuple[str,
     every = Window.partitionBy("stratum", "rule")
     down = every.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     tried = cells.select("stratum", "rule", "step", F.sum("good").over(every).alias("n"), F.sum("good").over(down).alias("k"), F.sum("bad").over(down).alias("bad"))
-    passes = F.when(F.col("k") > F.col("n") * share, False).otherwise(binomial_below(F.col("n"), F.col("k"), share) <= level)
+    tried = tried.withColumn("log_p", F.when(F.col("k") <= F.col("n") * share, binomial_below(F.col("n"), F.col("k"), share)))
+    passes = F.coalesce(F.col("log_p") <= level, F.lit(False))
     tried = tried.withColumn("certified", F.min(passes.cast("int")).over(down) == 1)
-    return tried.where(F.col("certified") & (F.col("step") > 0) & (F.col("bad") > ODDS * F.col("k"))).groupBy("stratum", "rule").agg(F.min("step").alias("step"))
+    chosen = tried.where(F.col("certified") & (F.col("step") > 0) & (F.col("bad") > ODDS * F.col("k")))
+    return chosen.groupBy("stratum", "rule").agg(F.min(F.struct("step", F.col("n").alias("n_good"), F.col("k").alias("n_lost"), "log_p")).alias("c")).select("stratum", "rule", "c.*")
 
 
 def verdict(cutoffs: list, strata: tuple[str, ...] = STRATA) -> Column:
@@ -124,13 +130,19 @@ def verdict(cutoffs: list, strata: tuple[str, ...] = STRATA) -> Column:
     return out
 
 
-def apply_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def apply_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the rules keep, with their own columns only."""
     columns = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id"), F.col("text"), F.col("lang"))
-    known = plain.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    cutoffs = certified_cutoffs(quality_counts(known.select("doc_id", "text", "lang")), labels).collect()
-    return quality_counts(plain).where(verdict(cutoffs)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    counted = Scratch(spark, "quality").table(quality_counts(plain).drop("text"), "counts")
+    cutoffs = certified_cutoffs(counted, labels).collect()
+    return counted.where(verdict(cutoffs)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def quality_cutoffs(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The chosen cutoffs by stratum and rule: cutoff of the measure, good labels, good labels lost, bound on their true share."""
+    found = certified_cutoffs(quality_counts(docs.select("doc_id", "lang", "text")), labels, alpha=alpha, delta=delta)
+    return found.select("stratum", "rule", (F.col("step") / GRID).alias("cutoff"), "n_good", "n_lost", F.lit(alpha / len(measures())).alias("bound"), F.exp("log_p").alias("p_value"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,5 +150,3 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = scratch.table(quality_counts(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", "q"), "counts")
     cutoffs = certified_cutoffs(counted, table(spark, sf_dir, "labels")).collect()
     return counted.select("doc_id", "q.*", verdict(cutoffs).alias("kept"))
-
-

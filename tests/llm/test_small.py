@@ -147,14 +147,53 @@ def test_quality_rejects_what_labels_show(spark):
     rows = [(i, prose() + " ###%%% " * (40 if i % 4 == 0 else 0), "en", "s") for i in range(24_00)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, q string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(2400) if i % 2 == 0] + [(7, None)], "doc_id long, quality long")
-    kept = quality.apply_quality(docs, labels)
+    kept = quality.apply_quality(spark, docs, labels)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    none = {r.doc_id for r in quality.apply_quality(docs, labels.limit(0)).select("doc_id").collect()}
+    none = {r.doc_id for r in quality.apply_quality(spark, docs, labels.limit(0)).select("doc_id").collect()}
     assert none == set(range(2400))  # no labels, no cutoff
-    assert ids == none or ids == {i for i in range(2400) if i % 4}
-    more = quality.certified_cutoffs(quality.quality_counts(docs), labels, alpha=0.1).collect()
-    assert more and all(r.stratum == "en" for r in more)
+    assert ids == {i for i in range(2400) if i % 4}
+    assert not quality.certified_cutoffs(quality.quality_counts(docs), labels, alpha=0.005).collect()  # too few labels for that
+    for r in quality.quality_cutoffs(spark, docs, labels).collect():
+        assert r.stratum == "en" and r.n_good == 600 and r.n_lost == 0 and abs(r.p_value - (1 - r.bound) ** 600) < 1e-9
+
+
+def test_verdict_is_the_brute_force_one(spark):
+    """kept against cutoffs from exact binomial sums in plain Python, where labels overlap and strata differ."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(3000):
+        bad, lang = rng.random() < 0.25, rng.choice(["en", "en", "en", "fr", "xx"])
+        w = ["".join(rng.choices("abcdefgh", k=rng.choice([3, 5, 8]) + 6 * (bad and i % 2))) for _ in range(60)]
+        marks = rng.randrange(4) + (rng.randrange(40) if bad else rng.random() < 0.02 and 12)
+        rows.append((i, " ".join(w) + " " + "#" * marks + ("\n" + w[0]) * (rng.randrange(6) if bad else 0), lang))
+        labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    quality_of = {i: y for i, y in labels if i % 10}
+    alpha, delta = quality.ALPHA, quality.DELTA
+    measured = {}
+    for r in quality.quality_counts(docs).select("doc_id", "lang", "q.*").collect():
+        n, c = max(r.n_words, 1), max(r.word_chars, 1)
+        values = {"symbols": r.n_symbols / c * 2, "repeats": r.n_repeat_words / n, "lines": r.n_dup_lines / n * 10, "long_words": c / n / 40}
+        measured[r.doc_id] = (r.lang if r.lang in quality.STRATA else "other", r.base_failed, {k: math.floor(min(1.0, v) * quality.GRID) for k, v in values.items()})
+    cutoffs = {}
+    for stratum in {m[0] for m in measured.values()}:
+        seen = [(quality_of[i], m[2]) for i, m in measured.items() if i in quality_of and m[0] == stratum and not m[1]]
+        n = sum(y for y, _ in seen)
+        for rule in quality.measures():
+            for step in sorted({m[rule] for _, m in seen}, reverse=True):
+                k = sum(y for y, m in seen if m[rule] >= step)
+                lost = sum(1 - y for y, m in seen if m[rule] >= step)
+                p = alpha / 4
+                if k > n * p or sum(math.comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(k + 1)) > delta / (4 * (len(quality.STRATA) + 1)):
+                    break
+                if step > 0 and lost > quality.ODDS * k:
+                    cutoffs[stratum, rule] = step
+    assert len(cutoffs) >= 3
+    want = {i for i, (st, failed, m) in measured.items() if not failed and not any(m[rule] >= cutoffs.get((st, rule), 10**9) for rule in m)}
+    table_ = spark.createDataFrame([(i, y) for i, y in quality_of.items()], "doc_id long, quality long")
+    assert {r.doc_id for r in quality.apply_quality(spark, docs, table_).collect()} == want
+    assert {(r.stratum, r.rule): r.step for r in quality.certified_cutoffs(quality.quality_counts(docs), table_).collect()} == cutoffs
 
 
 def test_spotsigs(spark):
