@@ -24,7 +24,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return apply_quality(docs, table(spark, sf_dir, "labels"))
+    return apply_quality(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
