@@ -12,13 +12,15 @@ as secrets; digests, identifiers, paths, addresses, placeholders and long words
 Scale: the corpus is read twice, for the counts of character pairs (partial sums, a table of fixed size) and for the scan;
 neither shuffles text. Only the character table and the forest, both of bounded size, are sent to the tasks.
 
-Defined cases: null or empty text has no candidates; whole texts are scanned, of any length; overlapping candidates count
-once, the first and longest; repeated rows have their findings each; an empty table gives an empty result; extra columns
-pass through redact().
+Defined cases: null or empty text has no candidates; whole texts are scanned, of any length, in time that grows with the
+text; of overlapping candidates the one of the surest pattern stays, and ends where the last of them ends; repeated rows
+have their findings each; an empty table gives an empty result; extra columns pass through, and those of scan() that are
+named like its results are replaced by them.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -120,11 +122,19 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if not s.isalpha() and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
             found.append((m.start(), m.end(), "long"))
     order = {k: i for i, (k, _) in enumerate(PATTERNS)} | {"assigned": 20, "long": 30}
-    out: list[tuple[int, int, str]] = []
+    starts: list[int] = []
+    kept: list[list] = []  # [start, end, kind], disjoint, in order of starts
     for a, b, k in sorted(found, key=lambda x: (order[x[2]], x[0], -x[1])):
-        if all(b <= c or a >= d for c, d, _ in out):
-            out.append((a, b, k))
-    return sorted(out)
+        i = bisect.bisect_right(starts, a)
+        before, after = i > 0 and kept[i - 1][1] > a, i < len(kept) and starts[i] < b
+        if not before and not after:
+            starts.insert(i, a)
+            kept.insert(i, [a, b, k])
+            continue
+        last = bisect.bisect_left(starts, b) - 1  # what an overlapping run has beyond the last one belongs to that
+        if kept[last][1] < b:
+            kept[last][1] = b
+    return [tuple(x) for x in kept]
 
 
 def features(text: str, start: int, end: int, kind: str, table_: list[list[float]], known: frozenset) -> list[float]:
@@ -261,7 +271,7 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: list[tuple[str, int]] |
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(made, kind)], [*names, "_n", "_f"])
 
     schema = T.StructType([*plain.schema.fields, *T.StructType.fromDDL(f"_n bigint, _f array<{FINDING}>").fields])
-    return plain.mapInArrow(run, schema).select(*[F.col(p).alias(c) for c, p in zip(columns, names, strict=True)], F.col("_n").alias("n_candidates"), F.col("_f").alias("findings"))
+    return plain.mapInArrow(run, schema).select(*[F.col(p).alias(c) for c, p in zip(columns, names, strict=True) if c not in ("n_candidates", "findings")], F.col("_n").alias("n_candidates"), F.col("_f").alias("findings"))
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
