@@ -7,7 +7,8 @@ Content-Length and compares the payload with its digest; it holds one record, ne
 
 Scale: digests are made in the scan; winners are one aggregated row for each digest (partial sums first, so a digest of
 a third of all rows is no hot task), and the join that brings them back is one that Spark may split where it is skewed.
-Archives are rolled at `roll_bytes` in the shared folder through the file system that its path names. A task's files have
+Archives are rolled at `roll_bytes` in the shared folder through the file system that its path names; a path without a
+scheme is in the cluster's default file system, as Spark's own tables are. A task's files have
 names of its attempt, and only the manifest of finished tasks is read: a lost executor leaves files that nobody reads.
 
 Defined cases: null html is an empty payload; null url an empty target; rows that repeat an id each have a record, and
@@ -27,19 +28,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, table
+from .store import Scratch, qualified, table
 
 ROLL_BYTES = 32 << 20
 CHUNK = 1 << 16
 
 
 def file_system(path: str):
-    """The file system of a URI or a plain path, and the path inside it."""
+    """The file system of a qualified path (see store.qualified), and the path inside it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if ":" not in path.split("/", 1)[0]:
+        raise ValueError(f"a path without a file system: {path}")
+    return fs.FileSystem.from_uri(path)
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -96,6 +99,7 @@ def parse(raw: bytes) -> dict:
 
 def write_warc(pages: DataFrame, folder: str, dedup_from: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes archives of pages (page_id, url, html) below `folder`; the manifest (path, n_records, n_bytes), still lazy."""
+    folder = qualified(pages.sparkSession, folder)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
     winners = pages.where(F.length("payload") >= dedup_from).groupBy("digest").agg(F.max("page_id").alias("first_id"))

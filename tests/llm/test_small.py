@@ -90,6 +90,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_paths_are_qualified(spark, tmp_path):
+    from pagelume.llm.store import Scratch, qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert Scratch(spark, "x").base.startswith("file:")
+    with pytest.raises(ValueError):
+        warc.file_system("/no/scheme")
+    pages = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string")
+    made = warc.write_warc(pages, f"{tmp_path}/plain").collect()
+    assert made and all(r.path.startswith("file:") for r in made)
+
+
 def test_warc_reader_refuses_damage():
     raw = warc.record(1, "u", b"body", base64.b32encode(hashlib.sha1(b"other").digest()).decode(), None)
     import io
