@@ -97,8 +97,29 @@ SELECT brand_id, engine_ord AS source_ord, rank FROM c JOIN x USING (brand_id) W
 
 
 def brand_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocking keys of part names; tested on known brands."""
-    return load(spark, sf_dir, "part").select("p_partkey", F.explode(B.brand_domain_keys(F.concat_ws(" ", "p_name", "p_brand"))).alias("key"))
+    """Blocking keys of part names, put after a word that has a short form and one that has a code in every fifth part."""
+    name = F.concat_ws(" ", F.when(F.col("p_partkey") % 5 == 0, "Krasno The Kosmetika Estilab").when(F.col("p_partkey") % 5 == 1, "Venoteks & liniya"), "p_name", "p_brand")
+    return B.brand_keys(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("brand_id"), name.alias("brand")))
+
+
+KEYS = f"""
+WITH n AS (SELECT p_partkey AS brand_id, translate(lower(concat_ws(' ', CASE p_partkey % 5 WHEN 0 THEN 'Krasno The Kosmetika Estilab' WHEN 1 THEN 'Venoteks & liniya' END, p_name, p_brand)), '''’`', '') AS low FROM part),
+t AS (SELECT DISTINCT brand_id, regexp_extract_all(unnest([regexp_replace(low, '[&+]', ' ', 'g'), regexp_replace(low, '[&+]', ' and ', 'g')]), '[a-z0-9]+') AS a FROM n),
+k AS (SELECT brand_id, a, list_filter(a, lambda w: NOT list_contains({list(B.D.BRAND_STOPWORDS) + ['and', 'the']}, w)) AS kept FROM t),
+w AS (SELECT DISTINCT * FROM (SELECT brand_id, unnest([a, kept, kept[1:2]]) AS ws FROM k) WHERE len(ws) > 0),
+f AS (SELECT *, len(ws) AS n, list_transform(ws, lambda x: CASE WHEN starts_with(x, 'kosmet') THEN 'cosm' WHEN starts_with(x, 'master') THEN 'master' WHEN starts_with(x, 'parfyum') OR starts_with(x, 'parfum') THEN 'parfum' ELSE x END) AS s,
+  list_transform(ws, lambda x: x[1]) AS i, CASE WHEN starts_with(ws[1], 'krasno') THEN 'kp' ELSE ws[1][1] END AS code FROM w),
+p AS (SELECT brand_id, unnest([ws, CASE WHEN n > 1 THEN i END, CASE WHEN n > 1 AND length(ws[n]) > 3 THEN list_append(i[1:n - 1], ws[n]) END, CASE WHEN s <> ws THEN s END,
+  CASE WHEN n > 1 AND (s <> ws OR code <> i[1]) THEN [s[1], list_aggregate(i[2:], 'string_agg', '')] END, CASE WHEN n > 1 AND (s <> ws OR code <> i[1]) THEN [code, s[n]] END]) AS parts FROM f),
+g AS (SELECT brand_id, unnest([list_aggregate(parts, 'string_agg', ''), list_aggregate(parts, 'string_agg', '-')]) AS key FROM p WHERE parts IS NOT NULL),
+o AS (SELECT DISTINCT brand_id, unnest(ws) AS x FROM w),
+u AS (SELECT brand_id, key FROM g UNION SELECT brand_id, replace(key, 'iya', 'ia') FROM g
+  UNION SELECT brand_id, regexp_replace(x, 'lab$', '-lab') FROM o WHERE x LIKE '%lab' AND length(x) > 4
+  UNION SELECT brand_id, unnest(['venoshop', 'veno-shop']) FROM o WHERE starts_with(x, 'veno')
+  UNION SELECT brand_id, unnest(['trives-spb.ru', 'trives-shop.ru']) FROM n WHERE contains(low, 'trives') UNION SELECT brand_id, 'compliment.su' FROM n WHERE contains(low, 'compliment')
+  UNION SELECT brand_id, 'rocs.ru' FROM n WHERE contains(low, 'rocs') OR contains(low, 'r.o.c.s'))
+SELECT DISTINCT brand_id, key || unnest({list(B.SUFFIXES)}) AS key FROM u WHERE length(key) >= 3
+"""
 
 
 def brand_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +132,6 @@ def brand_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MATCHES = r"WITH h AS (SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^/?#]*)', 1), '([^.]+\.[^.]+)$', 1) AS d FROM pages) SELECT a.page_id AS brand_id, count(*) AS n FROM h a JOIN h b ON b.d IN (split_part(a.d, '.', 1) || '.ru', split_part(a.d, '.', 1) || '.com') GROUP BY 1"
 
-_PAIRS = [(candidate_scores, SCORES), (ranked_candidates, RANKED), (confidences, CONFIDENCES), (enrichment_summary, SUMMARY), (flat_enrichment, FLAT), (direct_candidates, DIRECT), (first_results, FIRST), (source_cascade, CASCADE), (brand_matches, MATCHES)]
-QUERIES = {f.__name__: f for f, _ in _PAIRS} | {"brand_keys": brand_keys}
+_PAIRS = [(candidate_scores, SCORES), (ranked_candidates, RANKED), (confidences, CONFIDENCES), (enrichment_summary, SUMMARY), (flat_enrichment, FLAT), (direct_candidates, DIRECT), (first_results, FIRST), (source_cascade, CASCADE), (brand_matches, MATCHES), (brand_keys, KEYS)]
+QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

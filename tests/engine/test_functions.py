@@ -91,11 +91,13 @@ KEYS = {
 
 
 def test_brand_keys(spark):
-    names = list(KEYS)
-    for name, got in zip(names, values(spark, B.brand_domain_keys, names)):
-        assert set(KEYS[name]) <= set(got), (name, got[:20])
-        assert len(got) == len(set(got))
-    assert values(spark, B.brand_domain_keys, ["", "!!!"]) == [[], []]
+    names = [*KEYS, "", "!!!", None]
+    rows = B.brand_keys(spark.createDataFrame(list(enumerate(names)), "brand_id int, brand string")).collect()
+    got = {i: [r.key for r in rows if r.brand_id == i] for i in range(len(names))}
+    for i, name in enumerate(KEYS):
+        assert set(KEYS[name]) <= set(got[i]), (name, got[i][:20])
+        assert len(got[i]) == len(set(got[i]))
+    assert not any(got[i] for i in range(len(KEYS), len(names)))
 
 
 def test_redirected_first_result(spark):
