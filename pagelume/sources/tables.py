@@ -19,11 +19,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the class of its paths."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path_of
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Where a replacement stopped between its two renames, the table is put back."""
+    fs, path_of = file_system(spark, path)
+    if fs.exists(path_of(path)):
+        return
+    left = sorted(x.getPath().toString() for x in fs.globStatus(path_of(f"{path}.old-*")) or [])
+    if len(left) > 1:
+        raise OSError(f"{path} is missing and has several former versions: {left}")
+    if left and not fs.rename(path_of(left[0]), path_of(path)):
+        raise OSError(f"{path} could not be put back from {left[0]}")
+
+
 def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table; empty where there is none yet."""
+    """A table; empty where there is none yet, never where one was being replaced."""
+    recover(spark, path)
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def latest_version(spark: SparkSession, target: str) -> str | None:
+    """The newest version that commit_version() has completed below `target`."""
+    fs, path_of = file_system(spark, target)
+    found = sorted(x.getPath().getName() for x in fs.globStatus(path_of(f"{target}/version-*")) or [])
+    return f"{target}/{found[-1]}" if found else None
+
+
+def commit_version(spark: SparkSession, target: str, staged: str) -> str:
+    """Makes the folder `staged`, with tables that belong together, the next version in one rename. There is one writer at a
+    time. The version before stays for those who read it; older ones and folders of stopped writers go."""
+    fs, path_of = file_system(spark, target)
+    before = latest_version(spark, target)
+    version = f"{target}/version-{int(before.rsplit('-', 1)[1]) + 1 if before else 1:09d}"
+    if not fs.rename(path_of(staged), path_of(version)):
+        raise OSError(f"{version} could not be made")
+    keep = {path_of(v).getName() for v in (before, version) if v}
+    for x in [*(fs.globStatus(path_of(f"{target}/version-*")) or []), *(fs.globStatus(path_of(f"{target}/staged-*")) or [])]:
+        if x.getPath().getName() not in keep:
+            fs.delete(x.getPath(), True)
+    return version
+
+
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     return load_table(spark, f"{path}/registry", REGISTRY)
 
@@ -50,13 +91,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """K9: writes beside the target, reads it back whole, then swaps; the target may be df's own source."""
+    """K9: writes beside the target, reads it back whole, then swaps; the target may be df's own source. A swap that stops
+    half-way is undone by the next load_table() or replace_table()."""
     spark = df.sparkSession
     staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     spark.read.schema(df.schema).parquet(staged).count()  # every file can be read
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path_of = file_system(spark, path)
+    recover(spark, path)
     if fs.exists(path_of(path)):
         fs.rename(path_of(path), path_of(old))
     if not fs.rename(path_of(staged), path_of(path)):

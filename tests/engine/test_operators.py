@@ -139,12 +139,49 @@ def test_stream_equals_batch(spark, tmp_path):
         batch.where(F.col("file") == name).coalesce(1).write.mode("append").parquet(source)
         ST.stream_registry(spark, source, target, str(tmp_path / "cp"), BATCH, at).awaitTermination(120)
     want = {tuple(r) for r in R.upsert_registry(registry(spark), batch, at).collect()}
-    assert {tuple(r) for r in S.load_registry(spark, target).collect()} == want
+    named = batch.withColumn("display_name", F.lit(None).cast("string")).withColumn("brand", F.lit(None).cast("string"))
+    views = {tuple(r) for r in R.upsert_history(spark.createDataFrame([], S.HISTORY), named, at).collect()}
+    assert [{tuple(r) for r in x.collect()} for x in ST.load_state(spark, target)[:2]] == [want, views]
     ST.apply_files(spark, batch, target, at)  # a repeated delivery
-    assert {tuple(r) for r in S.load_registry(spark, target).collect()} == want
+    assert [{tuple(r) for r in x.collect()} for x in ST.load_state(spark, target)[:2]] == [want, views]
+    assert ST.load_state(spark, target)[2].count() == 2
     pages = str(tmp_path / "pages")
     rows = spark.createDataFrame([(1, "https://a.ru/catalog/1", "<body>купить в корзину</body>"), (2, "https://b.ru/", "<body>x</body>")], "page_id long, url string, html string")
     rows.write.parquet(pages)
     q = ST.stream_signals(spark.readStream.schema(rows.schema).parquet(pages)).writeStream.format("parquet").option("path", str(tmp_path / "sig")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "sig")).collect())) == sorted(map(str, P.page_signals(rows).collect()))
+
+
+def test_an_import_that_stops_anywhere_counts_once(spark, tmp_path, monkeypatch):
+    target, at = str(tmp_path / "out"), "2024-01-01 00:00:00"
+    batch = spark.createDataFrame(ROWS, BATCH)
+    first, second = batch.where("file = 'a'"), batch.where("file = 'b'")
+    ST.apply_files(spark, first, target, at)
+    before = {tuple(r) for r in ST.load_state(spark, target)[0].collect()}
+
+    def stops(*_):
+        raise KeyboardInterrupt
+
+    for name in ("upsert_registry", "upsert_history", "import_metrics", "commit_version"):
+        with monkeypatch.context() as m:
+            m.setattr(ST, name, stops)
+            with pytest.raises(KeyboardInterrupt):
+                ST.apply_files(spark, second, target, at)
+        assert {tuple(r) for r in ST.load_state(spark, target)[0].collect()} == before
+    for _ in range(2):  # delivered again, and once more after it was completed
+        ST.apply_files(spark, second, target, at)
+        got, views, log = ST.load_state(spark, target)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in R.upsert_registry(registry(spark), batch, at).collect()}
+        assert log.count() == 2 and views.count() > 0
+    assert not [x for x in os.listdir(target) if x.startswith("staged") and os.path.exists(f"{target}/{x}/registry")]
+
+
+def test_a_replacement_that_stops_is_undone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    S.replace_table(spark.range(5), path)
+    os.rename(path, f"{path}.old-1")  # between the two renames
+    assert S.load_table(spark, path, "id long").count() == 5 and os.path.exists(path)
+    os.rename(path, f"{path}.old-1")
+    S.replace_table(spark.range(7), path)
+    assert S.load_table(spark, path, "id long").count() == 7 and os.listdir(tmp_path) == ["t"]
