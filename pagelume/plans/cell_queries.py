@@ -69,14 +69,14 @@ def phones_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N16, N19, N20, N22, N26, N27 on customers."""
     c = load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    phone = F.when(k % 3 == 0, F.concat(F.lit("8 (9"), F.lpad(k.cast("string"), 2, "0"), F.lit(") 1234567 "))).otherwise(F.concat(F.lit(" tel "), k.cast("string")))
+    phone = F.when(k % 3 == 0, F.concat(F.lit("8 (9"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(") 1234567 "))).otherwise(F.concat(F.lit(" tel "), k.cast("string")))
     path = F.when(k % 3 == 0, F.concat(F.lit("/data/Results/"), F.col("c_mktsegment"), F.lit("/sub/file.csv"))).when(k % 3 == 1, F.concat(F.lit("C:\\x\\"), F.col("c_mktsegment"), F.lit("\\file.csv"))).otherwise(F.lit("file.csv"))
     names = F.create_map(F.lit("a"), F.lit(" "), F.lit("b"), F.when(k % 2 == 0, F.col("c_name")), F.lit("c"), F.col("c_mktsegment"))
-    return c.where(k < 100_000_000).select("c_custkey", C.norm_phone(F.when(k < 100, phone).otherwise(F.lit("none"))).alias("phone"), C.listing_url(F.when(k % 5 > 0, k), "https://x.example/{}/detail").alias("link"), C.search_url(F.concat(F.col("c_name"), F.lit(" a*b~c"))).alias("search"), C.category_of(path).alias("category"), C.yes_no(k % 2 == 0).alias("even"), C.company_name(names, ("a", "b", "c")).alias("company"))
+    return c.select("c_custkey", C.norm_phone(phone).alias("phone"), C.listing_url(F.when(k % 5 > 0, k), "https://x.example/{}/detail").alias("link"), C.search_url(F.concat(F.col("c_name"), F.lit(" a*b~c"))).alias("search"), C.category_of(path).alias("category"), C.yes_no(k % 2 == 0).alias("even"), C.company_name(names, ("a", "b", "c")).alias("company"))
 
 
 PHONES_AND_LINKS = """
-SELECT c_custkey, CASE WHEN c_custkey >= 100 THEN 'none' WHEN c_custkey % 3 = 0 THEN '+7 9' || lpad(c_custkey::VARCHAR, 2, '0') || ' 123-45-67' ELSE 'tel ' || c_custkey END AS phone,
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '+7 9' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || ' 123-45-67' ELSE 'tel ' || c_custkey END AS phone,
   CASE WHEN c_custkey % 5 > 0 THEN 'https://x.example/' || c_custkey || '/detail' END AS link,
   'https://search.example/?q=' || replace(c_name, '#', '%23') || '+a%2Ab~c' AS search,
   CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' / sub' WHEN 1 THEN c_mktsegment ELSE '' END AS category,

@@ -75,20 +75,20 @@ SLICED = "SELECT event_id AS row_idx, strftime(ts, '%Y-%m-%d') AS file, CASE eve
 
 def website_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that look like a website, in sheets with and without a website column."""
-    g = grid(spark, sf_dir).where("sheet <> 'MACHINERY'")
+    g = grid(spark, sf_dir)
     return G.extract_website_rows(g, "Website", "site").select("sheet", "row_idx", "url")
 
 
-WEBSITE_ROWS = f"WITH {GRID_SQL} SELECT sheet, row_idx, 'www.c' || c_custkey || '.example.com/a' AS url FROM g WHERE sheet <> 'MACHINERY' AND NOT blank AND c_custkey % 3 = 0"
+WEBSITE_ROWS = f"WITH {GRID_SQL} SELECT sheet, row_idx, 'www.c' || c_custkey || '.example.com/a' AS url FROM g WHERE NOT blank AND c_custkey % 3 = 0"
 
 
 def website_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S14"""
-    g = grid(spark, sf_dir).where("sheet <> 'MACHINERY'")
+    g = grid(spark, sf_dir)
     return G.website_summary(g).select("sheet", "total_rows", "with_website")
 
 
-WEBSITE_COUNTS = f"WITH {GRID_SQL} SELECT sheet, count(*) FILTER (NOT blank) AS total_rows, count(*) FILTER (NOT blank AND c_custkey % 3 = 0) AS with_website FROM g WHERE sheet <> 'MACHINERY' GROUP BY sheet"
+WEBSITE_COUNTS = f"WITH {GRID_SQL} SELECT sheet, count(*) FILTER (NOT blank) + (sheet = 'MACHINERY')::INT AS total_rows, count(*) FILTER (NOT blank AND c_custkey % 3 = 0) AS with_website FROM g GROUP BY sheet"
 
 
 def external_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +204,17 @@ def frequent_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 FREQUENT = f"WITH {BRANDS_SQL} SELECT segment || '/' || priority AS pair, count(*) AS n, min(row_idx) AS first_seen FROM i GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 20"
 
 
+def brand_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: priorities, and the most frequent segments."""
+    return G.icp_breakdown(brand_rows(spark, sf_dir), 3)
+
+
+BREAKDOWN = f"""
+WITH {BRANDS_SQL}, s AS (SELECT segment AS value, count(*) AS n, min(row_idx) AS first_seen FROM i WHERE segment <> '' GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 3)
+SELECT 'priority' AS kind, priority AS value, count(*) AS n, min(row_idx) AS first_seen FROM i GROUP BY priority UNION ALL SELECT 'segment', * FROM s
+"""
+
+
 def batch_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2"""
     return G.status_counts(batch(spark, sf_dir))
@@ -226,7 +237,7 @@ ICP_TABLE = f"WITH {BRANDS_SQL} SELECT row_idx + 2 AS row_idx, brand, segment, p
 _PAIRS = [
     (header_rows, HEADER_ROWS), (projected_rows, PROJECTED), (sheet_profiles, SHEET_PROFILES), (workbook_profile, WORKBOOK), (selected_preview, PREVIEW), (sliced_rows, SLICED), (website_rows, WEBSITE_ROWS), (website_counts, WEBSITE_COUNTS),
     (external_rows, EXTERNAL), (merged_tabs, MERGED_TABS), (listing_sample, LISTING_SAMPLE), (rows_by_sheet, ROWS_BY_SHEET), (batch_columns, BATCH_COLUMNS), (json_rows, JSON_ROWS), (legal_lookup, LEGAL_LOOKUP), (work_queue, WORK_QUEUE),
-    (brand_summary, BRAND_SUMMARY), (priority_rows, PRIORITY_ROWS), (frequent_priorities, FREQUENT), (batch_statuses, STATUSES), (icp_table, ICP_TABLE),
+    (brand_summary, BRAND_SUMMARY), (priority_rows, PRIORITY_ROWS), (frequent_priorities, FREQUENT), (brand_breakdown, BREAKDOWN), (batch_statuses, STATUSES), (icp_table, ICP_TABLE),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

@@ -18,15 +18,20 @@ INN_HEADERS = ("инн", "inn", "tax id", "инн компании", "инн о
 SHEET = ["source_file", "sheet"]
 
 
-def read_grid(spark: SparkSession, path: str, columns: int = 64, recursive: bool = False) -> DataFrame:
-    """CSV files, one sheet each, in exact row order; rows are parsed in parallel over files."""
+def read_grid(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """CSV files, one sheet each, in exact row order, of any width; line ends inside quotes belong to their cell. A file is
+    read as one text, files in parallel; its lines are put together to rows by the number of quotes before them."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select("value", F.col("_metadata.file_path").alias("source_file"))
     lines = files.select("source_file", F.posexplode(F.split(F.regexp_replace("value", r"(?:\r?\n)+\z", ""), r"\r?\n")).alias("i", "line"))
-    schema = ", ".join(f"c{i} string" for i in range(columns))
-    cells = F.array(*[F.col(f"r.c{i}") for i in range(columns)])
-    parsed = lines.select("source_file", (F.col("i") + 1).alias("row_idx"), F.from_csv("line", schema).alias("r"), "line")
-    width = F.size(F.split(F.regexp_replace("line", r'"[^"]*"', "x"), ","))
-    return parsed.select("source_file", F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sheet"), F.lit(1).alias("sheet_idx"), "row_idx", F.slice(cells, F.lit(1), F.least(width, F.lit(columns))).alias("cells"))
+    order = Window.partitionBy("source_file").orderBy("i")
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    opens = F.coalesce(F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 0
+    rows = lines.withColumn("opens", opens.cast("int")).withColumn("row_idx", F.sum("opens").over(order).cast("int"))
+    rows = rows.groupBy("source_file", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("line"))
+    found = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',("[^"]*(?:""[^"]*)*"|[^,]*)'), F.lit(1))
+    plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    cells = F.transform(found, lambda x: F.nullif(plain(x), F.lit("")))
+    return rows.select("source_file", F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("sheet"), F.lit(1).alias("sheet_idx"), "row_idx", cells.alias("cells"))
 
 
 def discover_batches(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -115,8 +120,8 @@ def extract_website_rows(grid: DataFrame, preferred: str = "Ссылка на с
     at = lambda test: F.filter(F.transform("headers", lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull())
     heads = heads.select(*SHEET, at(lambda h: h == preferred).alias("exact"), at(lambda h: F.contains(F.lower(h), F.lit(word))).alias("like"))
     columns = F.when(F.size("exact") > 0, F.col("exact")).otherwise(F.col("like"))
-    rows = grid.where("row_idx > 1").join(heads.select(*SHEET, columns.alias("at")), SHEET)
-    pool = F.when(F.size("at") > 0, F.transform("at", lambda i: F.get("cells", i))).otherwise(F.col("cells"))
+    rows = grid.where("row_idx > 1").join(heads.select(*SHEET, columns.alias("at")), SHEET, "left")  # a sheet may lack row 1
+    pool = F.when(F.coalesce(F.size("at"), F.lit(0)) > 0, F.transform("at", lambda i: F.get("cells", i))).otherwise(F.col("cells"))
     return rows.withColumn("url", trim_ws(F.get(F.filter(pool, looks_like_website), F.lit(0)))).where("url is not null").select(*SHEET, "row_idx", "url")
 
 
@@ -212,11 +217,18 @@ def top_k(df: DataFrame, column: str, k: int, order: str = "row_idx") -> DataFra
 
 
 def icp_summary(icp: DataFrame) -> DataFrame:
-    """A3: one row of counters and the counts by priority."""
+    """A3: one row of counters; icp_breakdown() has its lists."""
     has = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
     return icp.agg(F.count(F.lit(1)).alias("total"), F.count_if(is_marker(F.col("validation"))).alias("validation"), F.count_if(is_marker(F.col("excluded"))).alias("excluded"), *[has(c).alias(f"with_{c}") for c in ("inn", "site", "email", "phone")])
 
 
+def icp_breakdown(icp: DataFrame, segments: int = 20) -> DataFrame:
+    """A3: (kind, value, n, first_seen): the number of rows of each priority, and the most frequent segments."""
+    named = lambda c: icp.where(F.coalesce(trim_ws(F.col(c)), F.lit("")) != "").select("row_idx", trim_ws(F.col(c)).alias("value"))
+    priorities = named("priority").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_seen"))
+    return priorities.select(F.lit("priority").alias("kind"), "*").unionByName(top_k(named("segment"), "value", segments).select(F.lit("segment").alias("kind"), "*"))
+
+
 def status_counts(df: DataFrame, column: str = "status") -> DataFrame:
     """A2"""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

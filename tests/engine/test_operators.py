@@ -97,6 +97,14 @@ def test_grids_from_files(spark, tmp_path):
     assert [os.path.basename(r.path) for r in G.discover_batches(spark, str(tmp_path / "r"), "batch.csv").orderBy("file_ord").collect()] == ["Batch.CSV", "batch.csv"]
 
 
+def test_quoted_line_ends_and_wide_rows(spark, tmp_path):
+    wide = ",".join(str(i) for i in range(300))
+    (tmp_path / "w.csv").write_text('a,"two\nlines, and ""quotes""",b\r\n' + wide + '\n"",x,\n"last\n\n one"\n', encoding="utf-8")
+    rows = G.read_grid(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [r.row_idx for r in rows] == [1, 2, 3, 4] and len(rows[1].cells) == 300 and rows[1].cells[299] == "299"
+    assert rows[0].cells == ["a", 'two\nlines, and "quotes"', "b"] and rows[2].cells == [None, "x", None] and rows[3].cells == ["last\n\n one"]
+
+
 def test_website_tables(spark):
     row = lambda i, *c: ("f", "s", 1, i, list(c))
     schema = "source_file string, sheet string, sheet_idx int, row_idx int, cells array<string>"
