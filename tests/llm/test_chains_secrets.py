@@ -218,3 +218,25 @@ def test_recall_of_edited_passages(spark):
                 want.add(frozenset((i, i + 1)))
         assert len(want & found) >= 0.97 * len(want)
         assert all(max(p) // 2 == min(p) // 2 for p in found)
+
+
+def test_lone_seeds_that_are_spared_have_no_passage():
+    rng = random.Random(17)
+    spared = 0
+    for k in range(1500):
+        letters = [chr(c) for c in range(200, 200 + rng.choice([40, 120, 400]))]
+        seed = "".join(rng.choices(letters, k=chains.K))
+        x, y = ("".join(rng.choices(letters, k=90)) for _ in range(2))
+        x, y = x[:45] + seed + x[45:], y[:40] + seed + y[40:]
+        if k % 3 == 0:  # some more words in common, by and by
+            at = 45 + chains.K
+            x = x[:at] + "".join(y[40 + chains.K + i] if rng.random() < 0.5 else c for i, c in enumerate(x[at : at + 45]))
+        if chains.lonely(45, 40, x, y):
+            spared += 1
+            with_all = [s for chain in chains.chains([45], [40]) for s in chains.cores(chain, [45], [40], x, y, 1, 1)]
+            assert with_all
+            u, v, more, *_ = chains.reach(x, y, 50, 45, 1, 1, -chains.MAX_SHIFT, chains.MAX_SHIFT)
+            p, q, less, *_ = chains.reach(x[::-1], y[::-1], len(x) - 45, len(y) - 40, 1, 1, -chains.MAX_SHIFT, chains.MAX_SHIFT)
+            span = (45 - p, 50 + u, 40 - q, 45 + v, 5 + more + less)
+            assert span[3] - span[2] < chains.MIN_CHAIN or not chains.agrees(span)
+    assert 100 < spared < 1500
