@@ -21,6 +21,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each evaluated once a row: the optimiser moves no filter on them below, where it would repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 

@@ -130,7 +130,7 @@ def tooltip_blocks(html: Column) -> Column:
 
 def requisites_block(html: Column, before: int = 800, after: int = 1200) -> Column:
     """The first tooltip with a seller signal, else the text around the outermost marks; null without a signal."""
-    clean = lambda c: F.nullif(norm_lines(F.replace(strip_tags(c), F.lit("&nbsp;"), F.lit(" "))), F.lit(""))
+    clean = lambda c: let(norm_lines(F.replace(strip_tags(c), F.lit("&nbsp;"), F.lit(" "))), lambda t: F.nullif(t, F.lit("")))
     tooltip = F.get(F.filter(F.transform(F.filter(tooltip_blocks(html), has_seller_signal), clean), lambda x: x.isNotNull()), F.lit(0))
     places = F.filter(F.array(*[F.instr(html, m) for m in BLOCK_MARKS]), lambda p: p > 0)
     start = F.greatest(F.lit(1), F.array_min(places) - before)
@@ -163,12 +163,13 @@ def seller_name_text(c: Column, skipped: tuple[str, ...] = ("ИНН", "ОГРН"
     return F.substring(F.coalesce(first, F.when(is_plausible_name(labelled), labelled)), 1, 120)
 
 
-def seller_name_html(html: Column) -> Column:
-    """From the tooltip, then the details title, then a heading that isn't the site's name."""
+def seller_name_html(html: Column, block: Column | None = None) -> Column:
+    """From the requisites block (of the page, unless given), then the details title, then a heading that isn't the site's name."""
+    block = requisites_block(html) if block is None else block
     heads = lambda p: F.filter(F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), lambda x: compact(strip_tags(x))), lambda x: is_plausible_name(x))
     details = F.get(heads(r'(?is)<h[12][^>]*class="[^"]*seller-details__title[^"]*"[^>]*>(.*?)</h[12]>'), F.lit(0))
     first = F.get(F.filter(heads(r"(?is)<h1[^>]*>(.*?)</h1>"), lambda x: ~F.contains(x, F.lit("Wildberries"))), F.lit(0))
-    return F.substring(F.coalesce(seller_name_text(requisites_block(html)), details, first), 1, 120)
+    return F.substring(F.coalesce(seller_name_text(block), details, first), 1, 120)
 
 
 def is_useful_email(c: Column) -> Column:
@@ -215,9 +216,9 @@ def snippet(html: Column, at: Column, most: int = 800) -> Column:
     return F.substring(compact(decode_entities(strip_tags(F.regexp_replace(F.substring(html, F.greatest(at - most, F.lit(1)), F.lit(2 * most)), "^[^<]*>|<[^>]*$", " ")))), 1, most)
 
 
-def has_entrypoint(html: Column, classes: tuple[str, ...] = SELLER_INFO_CLASSES) -> Column:
-    """E29"""
-    return html.rlike('(?i)class="[^"]*(?:' + "|".join(classes) + ')[^"]*"') & ~is_empty_results(html_text(html))
+def has_entrypoint(html: Column, classes: tuple[str, ...] = SELLER_INFO_CLASSES, text: Column | None = None) -> Column:
+    """E29; the visible text where it is at hand."""
+    return html.rlike('(?i)class="[^"]*(?:' + "|".join(classes) + ')[^"]*"') & ~is_empty_results(html_text(html) if text is None else text)
 
 
 def first_of_sources(extract, *sources: Column) -> Column:

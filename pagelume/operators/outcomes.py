@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.cells import compact, first_non_empty
+from ..functions.cells import compact, computed, first_non_empty
 
 COUNTRIES = ("БЕЛОРУСЬ", "КАЗАХСТАН")
 #: Statuses after which a row need not be inspected again.
@@ -28,12 +28,14 @@ def extract_requisites(pages: DataFrame) -> DataFrame:
     Tax number: tooltip, HTML, text, title; registration numbers and entity: tooltip, HTML, text; name: HTML, tooltip, and
     the text on a seller page only; none on an empty-results page, where the listed name stands in."""
     listed = F.col("listed_name") if "listed_name" in pages.columns else F.lit(None).cast("string")
-    base = pages.select("page_id", "url", "html", listed.alias("listed_name"), H.requisites_block(F.col("html")).alias("tooltip"), H.html_text(F.col("html")).alias("text"), H.html_title(F.col("html")).alias("title"))
+    base = pages.select("page_id", "url", "html", listed.alias("listed_name"))
+    base = computed(base, tooltip=H.requisites_block(F.col("html")), text=H.html_text(F.col("html")), title=H.html_title(F.col("html")))
     tooltip, html, text, title = F.col("tooltip"), F.col("html"), F.col("text"), F.col("title")
     three = (tooltip, html, text)
-    empty = H.is_empty_results(text, title)
-    seller = U.is_seller_url(F.col("url"), allow_slug=True)
-    name = F.when(~empty, F.coalesce(H.seller_name_html(html), H.seller_name_text(tooltip), F.when(seller, H.seller_name_text(text))))
+    base = computed(base, empty=H.is_empty_results(text, title), seller=U.is_seller_url(F.col("url"), allow_slug=True))
+    empty, seller = F.col("empty"), F.col("seller")
+    # the block's own name comes before the headings in seller_name_html, so it isn't tried again after them
+    name = F.when(~empty, F.coalesce(H.seller_name_html(html, tooltip), F.when(seller, H.seller_name_text(text))))
     return base.select(
         "page_id",
         "url",
@@ -44,7 +46,7 @@ def extract_requisites(pages: DataFrame) -> DataFrame:
         H.seller_country(tooltip, text, title).alias("seller_country"),
         F.coalesce(name, F.nullif("listed_name", F.lit(""))).alias("display_name"),
         empty.alias("empty_results"),
-        H.has_entrypoint(html).alias("has_entrypoint"),
+        H.has_entrypoint(html, text=text).alias("has_entrypoint"),
         seller.alias("on_seller_page"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.cells import unique_ci
+from ..functions.cells import let, unique_ci
 
 SIGNALS = (
     "has_catalog", "has_cart", "has_checkout", "has_buy_button", "has_price", "has_product_page", "has_structured_product_data",
@@ -145,29 +145,34 @@ def contact_link_score(url: Column, text: Column) -> Column:
     return sum((F.when(H.contains_any(v, terms), w).otherwise(0) for terms, w in ((D.CONTACT_PATHS, 12), (D.CONTACT_WORDS, 12), (D.CONTACT_MINUS, -8))), F.lit(0))
 
 
-def ranked_links(pages: DataFrame, score, common: tuple[str, ...], k: int, common_base: int = 50, keep_query: bool = False) -> DataFrame:
-    """Links of each page's own domain with a positive score, and common paths where no link has them, the best k of each
-    page by (score, path length, address): page_id, candidate, score, rank."""
-    links = anchors(pages).select("page_id", "url", "text", U.resolve_href(F.col("url"), F.col("href"), keep_query).alias("candidate"))
-    links = links.where(F.col("candidate").isNotNull() & U.same_domain(F.col("candidate"), F.col("url")))
-    links = links.withColumn("score", score(F.col("candidate"), F.col("text"))).where("score > 0").groupBy("page_id", "candidate").agg(F.max("score").alias("score"))
+def ranked_links(pages: DataFrame, score, common: tuple[str, ...], k: int, common_base: int, keep_query: bool, site) -> DataFrame:
+    """Links of a site's pages to their own domain with a positive score, the best score of each address, and common paths
+    of the site's first page where no link has them; the best k of each site by (score, path length, address): site,
+    candidate, score, rank. A link is resolved and scored once, before it becomes a row; null sites have no candidates."""
+    base = pages.select("page_id", "url", site(F.col("url")).alias("site"), U.registered_domain(F.col("url")).alias("own"), H.anchor_array(F.col("html")).alias("a")).where("site is not null")
+    own = lambda u: F.col("own").isNull() | F.coalesce(U.registered_domain(u) == F.col("own"), F.lit(False))
+    link = lambda a: let(U.resolve_href(F.col("url"), a["href"], keep_query), lambda u: F.struct(u.alias("candidate"), F.when(own(u), score(u, a["text"])).alias("score")))
+    links = base.select("site", F.inline(F.transform("a", link))).where("candidate is not null and score > 0")
+    links = links.groupBy("site", "candidate").agg(F.max("score").alias("score"))
+    # each site's first page gives the scheme and host of its common paths
     origin = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")))
-    paths = F.array(*[F.struct(F.concat(origin, F.lit(p)).alias("candidate"), F.lit(common_base - i).alias("score")) for i, p in enumerate(common)])
-    usual = pages.select("page_id", F.explode(paths).alias("c")).select("page_id", "c.candidate", "c.score", F.lit(1).alias("usual"))
+    first = base.groupBy("site").agg(F.min(F.struct("page_id", origin.alias("origin"))).alias("first"))
+    paths = F.array(*[F.struct(F.concat("first.origin", F.lit(p)).alias("candidate"), F.lit(common_base - i).alias("score")) for i, p in enumerate(common)])
+    usual = first.select("site", F.inline(paths)).withColumn("usual", F.lit(1))
     # a link that equals a common path keeps its own score
-    best = links.withColumn("usual", F.lit(0)).unionByName(usual).groupBy("page_id", "candidate").agg(F.min_by("score", "usual").alias("score"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), F.length(U.path(F.col("candidate"))), "candidate")
+    best = links.withColumn("usual", F.lit(0)).unionByName(usual).groupBy("site", "candidate").agg(F.min_by("score", "usual").alias("score"))
+    order = Window.partitionBy("site").orderBy(F.desc("score"), F.length(U.path(F.col("candidate"))), "candidate")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rank_crawl(pages: DataFrame, k: int = 16, common_base: int = 50) -> DataFrame:
-    """D12"""
-    return ranked_links(pages, crawl_link_score, D.SHOP_PATHS, k, common_base)
+def rank_crawl(pages: DataFrame, k: int = 16, common_base: int = 50, site=U.registered_domain) -> DataFrame:
+    """By site, which is the registered domain unless another expression of the address is given."""
+    return ranked_links(pages, crawl_link_score, D.SHOP_PATHS, k, common_base, False, site)
 
 
-def rank_contact_pages(pages: DataFrame, k: int = 4, common_base: int = 50) -> DataFrame:
+def rank_contact_pages(pages: DataFrame, k: int = 4, common_base: int = 50, site=U.registered_domain) -> DataFrame:
     """D13"""
-    return ranked_links(pages, contact_link_score, D.COMMON_CONTACT_PATHS, k, common_base, keep_query=True)
+    return ranked_links(pages, contact_link_score, D.COMMON_CONTACT_PATHS, k, common_base, True, site)
 
 
 def resolve_crawl(candidates: DataFrame, pages: DataFrame) -> DataFrame:

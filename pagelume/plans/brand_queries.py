@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.cells import computed
 from ..operators import brands as B
 from .bindings import RESULTS_SQL, load, search_results
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = search_results(spark, sf_dir)
     c = F.col
-    return s.withColumn("score", B.candidate_score(c("brand"), c("segment"), c("url"), c("title"), c("snippet"))).withColumn("direct", B.direct_score(c("brand"), c("segment"), c("url"), c("title")))
+    return computed(search_results(spark, sf_dir), score=B.candidate_score(c("brand"), c("segment"), c("url"), c("title"), c("snippet")))
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,9 @@ FLAT = f"WITH {RANKED_CTE} SELECT brand_id, string_agg(score || ': ' || url, ';
 
 def direct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: guessed domains with a score of 35 and more; the guess's own words are part of what is searched."""
-    return _scored(spark, sf_dir).where("direct is not null").select("brand_id", "rank", "direct")
+    c = F.col
+    direct = B.direct_score(c("brand"), c("segment"), c("url"), c("title"))
+    return computed(search_results(spark, sf_dir), direct=direct).where("direct is not null").select("brand_id", "rank", "direct")
 
 
 DIRECT = f"WITH {RESULTS_SQL.replace(chr(39) + ' text' + chr(39), chr(39) + ' direct domain guess' + chr(39))} SELECT brand_id, rank, score + 18 AS direct FROM c WHERE score + 18 >= 35"

@@ -135,20 +135,22 @@ def site_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D12, C10 with links above common paths, which shows both."""
-    return P.rank_crawl(load(spark, sf_dir, "pages"), common_base=9).select("page_id", "candidate", "score", "rank")
+    """D12, C10 by host, with links above common paths, which shows both."""
+    return P.rank_crawl(load(spark, sf_dir, "pages"), common_base=9, site=U.bare_host)
 
 
 def _plan_sql(weights: list, common: tuple, base: int, k: int) -> str:
     score = " + ".join(f"CASE WHEN {any_sql('v', terms)} THEN {w} ELSE 0 END" for terms, w in weights)
-    usual = " UNION ALL ".join(f"SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '{p}' AS candidate, {base - i} AS score, 1 AS usual FROM pages" for i, p in enumerate(common))
+    usual = " UNION ALL ".join(f"SELECT site, origin || '{p}' AS candidate, {base - i} AS score, 1 AS usual FROM o" for i, p in enumerate(common))
+    site = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
     return f"""
-WITH {LINKS_SQL}, l0 AS (SELECT page_id, {RESOLVE_SQL} AS candidate, text FROM a),
-l1 AS (SELECT page_id, candidate, lower(candidate || ' ' || text) AS v FROM l0 WHERE candidate IS NOT NULL), l2 AS (SELECT page_id, candidate, {score} AS score FROM l1),
-l3 AS (SELECT page_id, candidate, max(score) AS score, 0 AS usual FROM l2 WHERE score > 0 GROUP BY 1, 2), u AS (SELECT * FROM l3 UNION ALL {usual}),
-w AS (SELECT page_id, candidate, arg_min(score, usual) AS score FROM u GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(regexp_extract(candidate, '^https?://[^/?#]*([^?#]*)', 1)), candidate) AS rank FROM w)
-SELECT page_id, candidate, score::INTEGER AS score, rank::INTEGER AS rank FROM r WHERE rank <= {k}
+WITH {LINKS_SQL}, l0 AS (SELECT {site} AS site, {RESOLVE_SQL} AS candidate, text FROM a),
+l1 AS (SELECT site, candidate, lower(candidate || ' ' || text) AS v FROM l0 WHERE candidate IS NOT NULL), l2 AS (SELECT site, candidate, {score} AS score FROM l1),
+l3 AS (SELECT site, candidate, max(score) AS score, 0 AS usual FROM l2 WHERE score > 0 GROUP BY 1, 2),
+o AS (SELECT {site} AS site, regexp_extract(arg_min(url, page_id), '^(https?://[^/?#]*)', 1) AS origin FROM pages GROUP BY 1), u AS (SELECT * FROM l3 UNION ALL {usual}),
+w AS (SELECT site, candidate, arg_min(score, usual) AS score FROM u GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, length(regexp_extract(candidate, '^https?://[^/?#]*([^?#]*)', 1)), candidate) AS rank FROM w)
+SELECT site, candidate, score::INTEGER AS score, rank::INTEGER AS rank FROM r WHERE rank <= {k}
 """
 
 
@@ -158,18 +160,29 @@ CRAWL_PLAN = _plan_sql([(D.CATALOG_MARKS + D.CATALOG_TERMS, 8), (D.PRODUCT_MARKS
 
 def contact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D13, C11"""
-    return P.rank_contact_pages(load(spark, sf_dir, "pages"), common_base=8).select("page_id", "candidate", "score", "rank")
+    return P.rank_contact_pages(load(spark, sf_dir, "pages"), common_base=8, site=U.bare_host)
 
 
 CONTACT_PLAN = _plan_sql([(D.CONTACT_PATHS, 12), (D.CONTACT_WORDS, 12), (D.CONTACT_MINUS, -8)], D.COMMON_CONTACT_PATHS, 8, 4)
 
 
 def crawl_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored pages that links of other pages lead to."""
+    """The crawl plan's candidates that are stored, where every page is stored under a shop path of its host, with
+    its place among its site's pages that can be analysed."""
     pages = load(spark, sf_dir, "pages")
-    links = P.anchors(pages).select("page_id", U.resolve_href(F.col("url"), F.lit("./x/../")).alias("candidate")).distinct()
-    good = P.analyzable_pages(pages, 6).select("page_id", "domain", "nth")
-    return P.resolve_crawl(links.where("candidate is not null"), pages).join(good, "page_id", "left")
+    origin = F.concat(U.scheme(F.col("url")), F.lit("://"), F.upper(U.host(F.col("url"))))
+    stored = pages.withColumn("url", F.concat(origin, F.get(F.array(*map(F.lit, P.D.SHOP_PATHS)), (F.col("page_id") % len(P.D.SHOP_PATHS)).cast("int")), F.lit("#top")))
+    good = P.analyzable_pages(stored, 6).select(F.col("page_id").alias("stored_page_id"), "domain", "nth")
+    return P.resolve_crawl(P.rank_crawl(pages, site=U.bare_host), stored).join(good, "stored_page_id", "left")
+
+
+CRAWL_RESOLVED = f"""
+WITH p AS ({_plan_sql([(D.CATALOG_MARKS + D.CATALOG_TERMS, 8), (D.PRODUCT_MARKS, 6), (D.CART_MARKS + D.CART_TERMS, 5), (D.CHECKOUT_MARKS + D.CHECKOUT_TERMS, 5), (D.DELIVERY_TERMS, 3), (D.PAYMENT_TERMS, 3), (D.OFF_TOPIC_LINKS, -6)], D.SHOP_PATHS, 50, 16)}),
+s AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || rtrim({list(D.SHOP_PATHS)}[page_id % {len(D.SHOP_PATHS)} + 1], '/') AS k, {DOMAIN_SQL} AS domain FROM pages),
+m AS (SELECT k, min(page_id) AS stored_page_id FROM s GROUP BY k),
+g AS (SELECT page_id AS stored_page_id, domain, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS nth FROM s QUALIFY nth <= 6)
+SELECT site, candidate, score, rank, stored_page_id, domain, nth::INTEGER AS nth FROM p JOIN m ON rtrim(candidate, '/') = k LEFT JOIN g USING (stored_page_id)
+"""
 
 
 def email_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +299,6 @@ SELECT event_id AS page_id, CASE event_type WHEN 'click' THEN 'https://www.wildb
 
 QUERIES = {f.__name__: f for f in (page_audit, html_text, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, term_hits, seller_links)}
 ORACLES = {
-    "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN,
+    "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN, "crawl_resolved": CRAWL_RESOLVED,
     "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS, "term_hits": TERM_HITS, "seller_links": SELLER_LINKS,
 }
