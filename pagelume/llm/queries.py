@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .centroids import ORACLE as CENTROID_SQL
+from .centroids import op13_centroids
 from .chains import op7_chains
 from .chat import ORACLE as CHAT_SQL
 from .chat import op6_chat
+from .collocations import ORACLE as COLLOCATION_SQL
+from .collocations import op12_collocations
+from .huffman import op11_huffman
 from .jaccard_join import op1_jaccard
 from .packing import op2_packing
 from .quality import op8_quality
@@ -25,6 +30,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_suffix": op9_suffix,
     "op10_warc": op10_warc,
+    "op11_huffman": op11_huffman,
+    "op12_collocations": op12_collocations,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLES: dict[str, str] = {"op6_chat": CHAT_SQL}
+ORACLES: dict[str, str] = {"op6_chat": CHAT_SQL, "op12_collocations": COLLOCATION_SQL, "op13_centroids": CENTROID_SQL}
