@@ -33,24 +33,25 @@ def padded_windows(docs: DataFrame, max_words: int) -> DataFrame:
     text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, SEPARATORS)).alias("piece"))
     pieces = pieces.select("lang", F.trim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    words = F.split("piece", BLANKS)
-    leads = [F.slice(words, k + 1, F.size(words)) if k else words for k in range(max_words)]
-    rows = pieces.select("lang", F.inline(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(leads, 1)])))
-    return rows.toDF("lang", *[f"w{k}" for k in range(1, max_words + 1)])
+    opened = pieces.select("lang", F.split("piece", BLANKS).alias("words")).select("lang", "words", F.posexplode("words").alias("k", "w1"))
+    leads = [F.get("words", F.col("k") + i).alias(f"w{i + 1}") for i in range(1, max_words)]
+    return opened.select("lang", "w1", *leads)
 
 
-def phrase_counts(docs: DataFrame, max_words: int) -> DataFrame:
-    """lang, words (array), f: each phrase of 1 to max_words words, and one row with no words for all words of a lang."""
+def phrase_counts(docs: DataFrame, max_words: int, min_count: int) -> DataFrame:
+    """lang, words (array), f: the phrases of 1 to max_words words that occur min_count times, and one row without words for all words of a lang."""
     names = [f"w{k}" for k in range(1, max_words + 1)]
     longest = padded_windows(docs, max_words).groupBy("lang", *names).agg(F.count("*").alias("f"))
-    whole = longest.where(F.col(names[-1]).isNotNull()).select("lang", F.array(*names).alias("words"), "f")
+    whole = longest.select("lang", F.array(*names).alias("words"), "f")
     shorter = names[:-1]
-    level = F.grouping_id().alias("gid")
-    summed = longest.groupingSets([["lang", *shorter[:k]] for k in range(len(shorter), -1, -1)], "lang", *shorter).agg(F.sum("f").alias("f"), level)
+    summed = longest.groupingSets([["lang", *shorter[:k]] for k in range(len(shorter), -1, -1)], "lang", *shorter).agg(F.sum("f").alias("f"), F.grouping_id().alias("gid"))
     used = F.lit(len(shorter)) - F.bit_count("gid")  # words of the prefix: the bits of rolled columns are set
     prefix = F.slice(F.array(*shorter), 1, used.cast("int")).alias("words")
-    padded = F.exists("words", lambda w: w.isNull())  # a prefix that reaches past its piece's end is no phrase
-    return summed.select("lang", prefix, "f").where(~padded).unionByName(whole)
+    both = summed.select("lang", prefix, "f").unionByName(whole)
+    # A prefix that reaches past its piece's end is no phrase. The test names f, or it would move below one of the two uses
+    # of `longest`, whose counts would then be made twice.
+    padded = F.size("words") > F.size(F.array_compact("words"))
+    return both.where((F.size("words") == 0) | (F.when(padded, 0).otherwise(F.col("f")) >= min_count))
 
 
 def _joined(words: Column) -> Column:
@@ -62,8 +63,7 @@ def collocations(spark: SparkSession, docs: DataFrame, max_words: int = 3, min_c
 
     share: a phrase goes if a longer one that contains it has at least so many hundredths of its occurrences."""
     scratch = Scratch(spark, "collocations")
-    counts = phrase_counts(docs, max_words)
-    kept = counts.where((F.col("f") >= min_count) | (F.size("words") == 0))
+    kept = phrase_counts(docs, max_words, min_count)
     frequent = scratch.table(kept.select("lang", "words", _joined(F.col("words")).alias("phrase"), F.size("words").alias("m"), "f"), "frequent")
     parts = frequent.where("m > 0").select("lang", "phrase", "f")
     totals = frequent.where("m = 0").select("lang", F.col("f").alias("n"))
