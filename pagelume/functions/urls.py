@@ -179,9 +179,13 @@ def is_analyzable(status: Column, content_type: Column, body: Column, rendered:
     return is_html(content_type, body) & ((status < 400) | rendered)
 
 
+#: Statuses of pages that refuse a plain client.
+BLOCKED = (403, 429, 498, 503)
+
+
 def needs_render(status: Column, title: Column) -> Column:
     """U15"""
-    return status.isin(403, 429, 498, 503) | F.coalesce(F.lower(trim_ws(title)).isin(*LOADING_TITLES), F.lit(False))
+    return status.isin(*BLOCKED) | F.coalesce(F.lower(trim_ws(title)).isin(*LOADING_TITLES), F.lit(False))
 
 
 def zone_score(h: Column) -> Column:

@@ -118,15 +118,6 @@ def site_fit() -> Column:
     )
 
 
-def audit_sites(requested: DataFrame, pages: DataFrame, terms: Terms = Terms()) -> DataFrame:
-    """Every requested (row_idx, url): NO_SITE for a bad address, BROKEN without an analysable page, else the fit."""
-    wanted = requested.select("row_idx", F.col("url").alias("requested_url"), U.registered_domain(U.normalize_url(F.col("url"))).alias("domain"), U.looks_like_website(F.col("url")).alias("ok"))
-    sites = site_signals(page_signals(pages, terms)).withColumn("fit", site_fit())
-    joined = wanted.join(sites, "domain", "left")
-    status = F.when(~F.col("ok"), "NO_SITE").when(F.col("pages").isNull(), F.when(U.is_marketplace(F.col("domain")), "NOT_FIT").otherwise("BROKEN")).otherwise(F.col("fit.status"))
-    return joined.select("row_idx", "requested_url", "domain", status.alias("status"), F.coalesce("ecom_score", F.lit(0)).alias("ecom_score"), F.coalesce("evidence_pages", F.lit(0)).alias("evidence_pages"), F.col("fit.reason").alias("reason"))
-
-
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, href, text."""
     return pages.select("page_id", "url", F.posexplode(H.anchor_array(F.col("html"))).alias("pos", "a")).select("page_id", "url", "pos", "a.href", "a.text")

@@ -83,10 +83,11 @@ HISTORY_ATTRIBUTES = ("display_name", "inn", "status", "brand")
 
 
 def history_rows(batch: DataFrame) -> DataFrame:
-    """One row for each seller of the batches: first and last non-empty values in order of (file, row), counts, skip flag."""
+    """One row for each seller of the batches, of which a file counts once, by its first row: first and last non-empty
+    values in order of the files, counts, skip flag."""
     ord_ = F.struct("file_ord", "row_idx")
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    rows = batch.withColumn("seller_key", norm_key(F.col("seller"))).where("seller_key <> ''")
+    rows = mark_duplicates(batch, norm_key(F.col("seller"))).where("in_file = 1").withColumnRenamed("key", "seller_key")
     count = F.sum("view_count") if "view_count" in batch.columns else F.count(F.lit(1))
     last = lambda c: F.max_by(F.when(filled(c), F.col(c)), F.when(filled(c), ord_)).alias(c)
     return rows.groupBy("seller_key").agg(
@@ -94,7 +95,7 @@ def history_rows(batch: DataFrame) -> DataFrame:
         count.cast("long").alias("seen_count"),
         F.min_by("file", ord_).alias("first_source"),
         F.max_by("file", ord_).alias("last_source"),
-        F.bool_or(skip_recommended(F.col("inn"), F.col("status"))).alias("skip"),
+        F.bool_or(skip_recommended(norm_inn(F.col("inn")), F.col("status"))).alias("skip"),
         *[last(c) for c in HISTORY_ATTRIBUTES],
     )
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
+from ..operators import audit as A
 from ..operators import outcomes as O
 from ..operators import pages as P
 from .bindings import PAGE_TERMS, load, seller_pages
@@ -154,7 +156,6 @@ SELECT site, candidate, score::INTEGER AS score, rank::INTEGER AS rank FROM r WH
 """
 
 
-D = P.D
 CRAWL_PLAN = _plan_sql([(D.CATALOG_MARKS + D.CATALOG_TERMS, 8), (D.PRODUCT_MARKS, 6), (D.CART_MARKS + D.CART_TERMS, 5), (D.CHECKOUT_MARKS + D.CHECKOUT_TERMS, 5), (D.DELIVERY_TERMS, 3), (D.PAYMENT_TERMS, 3), (D.OFF_TOPIC_LINKS, -6)], D.SHOP_PATHS, 9, 16)
 
 
@@ -252,23 +253,114 @@ FROM t
 """
 
 
-def audited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested addresses of customers with the audit of their site."""
-    from ..operators.registry import attach_audit
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored responses made of the pages: each under its address, with errors, blocks, files and redirects by page_id; what a
+    browser showed for the blocked ones; and each once more under a shop path of its host."""
+    p, i = load(spark, sf_dir, "pages"), F.col("page_id")
+    origin = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")))
+    moved = F.when(i % 17 == 6, F.lit("https://ozon.ru/seller/9")).when(i % 5 == 1, F.concat(origin, F.lit("/moved/"), i.cast("string"))).otherwise(F.col("url"))
+    status = F.when(i % 7 == 3, 404).when(i % 7 == 5, 403).otherwise(200)
+    kind = F.when(i % 11 == 4, "application/pdf").when(i % 11 == 5, "").otherwise("text/html; charset=utf-8")
+    plain = p.select("page_id", "url", "html", moved.alias("final_url"), status.alias("status"), kind.alias("content_type"), F.lit(False).alias("rendered"))
+    shown = plain.where("status = 403 and page_id % 2 = 0").select((i + 10**9).alias("page_id"), F.col("final_url").alias("url"), "html", "final_url", "status", F.lit("text/html").alias("content_type"), F.lit(True).alias("rendered"))
+    path = F.concat(U.scheme(F.col("url")), F.lit("://"), F.upper(U.host(F.col("url"))), F.get(F.array(*map(F.lit, D.SHOP_PATHS)), (i % len(D.SHOP_PATHS)).cast("int")))
+    shop = p.select((i + 2 * 10**9).alias("page_id"), path.alias("url"), "html", path.alias("final_url"), F.when(i % 3 == 0, 500).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(False).alias("rendered"))
+    return plain.unionByName(shown).unionByName(shop)
+
+
+RESPONSES_SQL = f"""
+resp AS (SELECT page_id, url, html, CASE WHEN page_id % 17 = 6 THEN 'https://ozon.ru/seller/9' WHEN page_id % 5 = 1 THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/moved/' || page_id ELSE url END AS final_url,
+    CASE WHEN page_id % 7 = 3 THEN 404 WHEN page_id % 7 = 5 THEN 403 ELSE 200 END AS status, page_id % 11 <> 4 AS readable, false AS rendered FROM pages
+  UNION ALL SELECT page_id + 1000000000, CASE WHEN page_id % 17 = 6 THEN 'https://ozon.ru/seller/9' WHEN page_id % 5 = 1 THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/moved/' || page_id ELSE url END AS u, html, u, 403, true, true FROM pages WHERE page_id % 7 = 5 AND page_id % 2 = 0
+  UNION ALL SELECT page_id + 2000000000, regexp_extract(url, '^(https?://)', 1) || upper(regexp_extract(url, '^https?://([^/?#]*)', 1)) || {list(D.SHOP_PATHS)}[page_id % {len(D.SHOP_PATHS)} + 1] AS u, html, u, CASE WHEN page_id % 3 = 0 THEN 500 ELSE 200 END, true, false FROM pages)
+"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address for each page: as it is, without scheme, with the other scheme, with or without www; unknown sites, no sites."""
+    i, u = F.col("page_id"), F.col("url")
+    other = F.when(F.startswith(u, F.lit("https:")), F.regexp_replace(u, "^https:", "http:")).otherwise(F.regexp_replace(u, "^http:", "https:"))
+    www = F.when(u.rlike("://www[.]"), F.regexp_replace(u, "://www[.]", "://")).otherwise(F.regexp_replace(u, "://", "://www."))
+    bare = F.regexp_replace(u, "^https?://", "")
+    asked = F.when(i % 19 == 7, F.concat(F.lit("missing-"), i.cast("string"), F.lit(".example"))).when(i % 23 == 8, F.lit("  ")).when(i % 4 == 1, bare).when(i % 4 == 2, other).when(i % 4 == 3, www).otherwise(u)
+    return load(spark, sf_dir, "pages").select(i.alias("row_idx"), asked.alias("url"))
+
+
+def site_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 end to end, with U2, U9, U14, U15, D12, D18, J8, P9, A5, C4, C5: resolved addresses, crawled pages, statuses, reasons."""
+    out = A.audit_sites(_requests(spark, sf_dir), _responses(spark, sf_dir), PAGE_TERMS)
+    lists = ("evidence_pages", "checked_pages", "marketplace_links", "hacked_terms")
+    return out.select("row_idx", "requested_url", *[F.array_join(c, " ").alias(c) if c in lists else F.col(c) for c in A.RESULT])
 
-    c = load(spark, sf_dir, "customer")
-    url = F.when(F.col("c_custkey") % 4 == 0, F.lit("http://shop.example.com/x")).when(F.col("c_custkey") % 4 == 1, F.lit("not a site")).when(F.col("c_custkey") % 4 == 2, F.lit("https://ozon.ru/a")).otherwise(F.lit("missing.example"))
-    asked = c.select(F.col("c_custkey").alias("row_idx"), url.alias("url"))
-    audit = P.audit_sites(asked, load(spark, sf_dir, "pages"), PAGE_TERMS).withColumn("position", F.col("row_idx")).select("row_idx", "position", "status", "evidence_pages")
-    return attach_audit(asked, audit)
+
+CANON = "regexp_replace(lower(regexp_extract({0}, '^(https?://[^/?#]*)', 1)) || regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')"
+OWN_DOMAIN = r"regexp_extract(lower(regexp_extract({0}, '^https?://([^/?#]*)', 1)), '([^.]+\.[^.]+)$', 1)"
+OF_PAGES = SIGNALS_SQL.replace("FROM pages LEFT JOIN m USING (page_id)", "FROM shown LEFT JOIN m USING (page_id)").replace("FROM pages)", "FROM shown)").replace("pages.page_id", "shown.page_id")
+REASONS = """CASE c WHEN 0 THEN 'marketplace, not a site of its own' WHEN 1 THEN 'suspicious words: ' || replace(hacked_terms, ' ', ', ') WHEN 2 THEN 'cart or checkout, product structure and commercial signals' WHEN 3 THEN 'cart or checkout and enough other signals'
+   WHEN 4 THEN 'cart or checkout, but weak product structure or prices' WHEN 5 THEN 'no cart: requests, calls or quotes' WHEN 6 THEN 'no cart: business or industrial site' WHEN 7 THEN 'products and commercial signals, no cart'
+   WHEN 8 THEN 'product structure, no cart or checkout' WHEN 9 THEN 'brand with product structure, no cart' ELSE 'no cart and too few signals' END"""
+STATUSES = "CASE c WHEN 1 THEN 'HACKED' WHEN 2 THEN 'FIT_NOW' WHEN 3 THEN 'FIT_NOW' WHEN 4 THEN 'FIT_LATER' WHEN 7 THEN 'FIT_LATER' WHEN 8 THEN 'FIT_LATER' WHEN 9 THEN 'FIT_LATER' ELSE 'NOT_FIT' END"
+CRAWL_WEIGHTS = [(D.CATALOG_MARKS + D.CATALOG_TERMS, 8), (D.PRODUCT_MARKS, 6), (D.CART_MARKS + D.CART_TERMS, 5), (D.CHECKOUT_MARKS + D.CHECKOUT_TERMS, 5), (D.DELIVERY_TERMS, 3), (D.PAYMENT_TERMS, 3), (D.OFF_TOPIC_LINKS, -6)]
+LINK_SCORE = " + ".join(f"CASE WHEN {any_sql('v', terms)} THEN {w} ELSE 0 END" for terms, w in CRAWL_WEIGHTS)
+USUAL_SQL = " UNION ALL ".join(f"SELECT site, lower(regexp_extract(final_url, '^(https?)', 1)) || regexp_extract(final_url, '^https?(://[^/?#]*)', 1) || '{p}' AS candidate, {50 - i} AS score, 1 AS usual FROM opened" for i, p in enumerate(D.SHOP_PATHS))
+SITE_AUDITS = f"""
+WITH {RESPONSES_SQL}, shown AS (SELECT page_id, final_url AS url, html FROM resp),
+{OF_PAGES},
+asked AS (SELECT page_id AS row_idx, CASE WHEN page_id % 19 = 7 THEN 'missing-' || page_id || '.example' WHEN page_id % 23 = 8 THEN '  ' WHEN page_id % 4 = 1 THEN regexp_replace(url, '^https?://', '')
+   WHEN page_id % 4 = 2 THEN CASE WHEN starts_with(url, 'https:') THEN 'http:' || url[7:] ELSE 'https:' || url[6:] END
+   WHEN page_id % 4 = 3 THEN CASE WHEN contains(url, '://www.') THEN replace(url, '://www.', '://') ELSE replace(url, '://', '://www.') END ELSE url END AS requested_url FROM pages),
+wanted AS (SELECT *, CASE WHEN trim(requested_url) = '' THEN NULL WHEN regexp_matches(requested_url, '^https?://') THEN requested_url ELSE 'https://' || requested_url END AS site FROM asked),
+sites AS (SELECT DISTINCT site, regexp_extract(site, '^(https?)', 1) AS sch, regexp_replace(regexp_extract(site, '^https?://([^/?#]*)', 1), '^www[.]', '') AS h, regexp_matches(site, '^https?://www[.]') AS w, regexp_replace(regexp_extract(site, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM wanted WHERE site IS NOT NULL),
+variants AS (SELECT site, n, CASE WHEN n % 4 < 2 THEN sch WHEN sch = 'https' THEN 'http' ELSE 'https' END || '://' || CASE WHEN w = (n % 2 = 0) THEN 'www.' ELSE '' END || lower(h) || p AS key FROM sites, range(4) t(n)),
+tried AS (SELECT *, CASE WHEN sch <> '' THEN 1 END AS x FROM (SELECT v.site, v.n, r.*, '' AS sch FROM variants v JOIN (SELECT *, {CANON.format('url')} AS key FROM resp WHERE NOT rendered QUALIFY row_number() OVER (PARTITION BY {CANON.format('url')} ORDER BY page_id) = 1) r USING (key))),
+entry0 AS (SELECT site, page_id, final_url, status, readable, html FROM tried QUALIFY row_number() OVER (PARTITION BY site ORDER BY status >= 400, n) = 1),
+browser AS (SELECT *, {CANON.format('url')} AS key FROM resp WHERE rendered QUALIFY row_number() OVER (PARTITION BY {CANON.format('url')} ORDER BY page_id) = 1),
+entries AS (SELECT e.site, coalesce(b.page_id, e.page_id) AS page_id, coalesce(b.final_url, e.final_url) AS final_url, coalesce(b.status, e.status) AS status, coalesce(b.readable, e.readable) AS readable, b.page_id IS NOT NULL AS rendered
+  FROM entry0 e LEFT JOIN browser b ON e.status = 403 AND {CANON.format('e.final_url')} = b.key),
+opened AS (SELECT * FROM entries WHERE readable AND (status < 400 OR rendered) AND NOT contains(final_url, '//ozon.ru/')),
+l1 AS (SELECT site, {RESOLVE_SQL.replace("url", "final_url")} AS candidate, text FROM opened JOIN a USING (page_id)),
+l2 AS (SELECT site, candidate, max(score) AS score, 0 AS usual FROM (SELECT site, candidate, {LINK_SCORE} AS score FROM (SELECT *, lower(candidate || ' ' || text) AS v FROM l1 WHERE candidate IS NOT NULL)) WHERE score > 0 GROUP BY ALL),
+l3 AS (SELECT site, candidate, arg_min(score, usual) AS score FROM (SELECT * FROM l2 UNION ALL {USUAL_SQL}) GROUP BY ALL),
+l4 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, length(regexp_extract(candidate, '^https?://[^/?#]*([^?#]*)', 1)), candidate) AS rank FROM l3 QUALIFY rank <= 16),
+l5 AS (SELECT l.site, {CANON.format('candidate')} AS key, min(rank) AS rank FROM l4 l JOIN opened o ON l.site = o.site WHERE {CANON.format('candidate')} <> {CANON.format('o.final_url')} GROUP BY ALL),
+good AS (SELECT * FROM (SELECT *, {CANON.format('url')} AS key FROM resp WHERE NOT rendered QUALIFY row_number() OVER (PARTITION BY {CANON.format('url')} ORDER BY page_id) = 1) WHERE readable AND status < 400),
+more AS (SELECT site, page_id, final_url, row_number() OVER (PARTITION BY site ORDER BY rank) AS nth FROM l5 JOIN good USING (key) QUALIFY nth < 6),
+every AS (SELECT site, page_id, final_url, 0 AS nth, readable AND (status < 400 OR rendered) AS analyzable, rendered FROM entries UNION ALL SELECT site, page_id, final_url, nth, true, false FROM more),
+seen AS (SELECT e.*, {", ".join(f"v.{k}" for k in P.SIGNALS)}, links, hacked, ({SCORE_SQL}) AS score, nullif(title, '') AS title FROM every e JOIN v USING (page_id)
+   JOIN (SELECT page_id, {TITLE_SQL} AS title FROM shown) USING (page_id) WHERE analyzable),
+lnk AS (SELECT site, string_agg(x, ' ' ORDER BY nth, k) AS marketplace_links, count(*) AS n_links FROM (SELECT site, x, nth, k FROM (SELECT site, nth, unnest(links) AS x, generate_subscripts(links, 1) AS k FROM seen) QUALIFY row_number() OVER (PARTITION BY site, lower(x) ORDER BY nth, k) = 1) GROUP BY site),
+hck AS (SELECT site, string_agg(x, ' ' ORDER BY nth, k) AS hacked_terms FROM (SELECT site, x, nth, k FROM (SELECT site, nth, unnest(hacked) AS x, generate_subscripts(hacked, 1) AS k FROM seen) QUALIFY row_number() OVER (PARTITION BY site, lower(x) ORDER BY nth, k) = 1) GROUP BY site),
+evi AS (SELECT site, string_agg(final_url, ' ' ORDER BY nth) AS evidence_pages FROM (SELECT * FROM seen WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY site, lower(final_url) ORDER BY nth) = 1) GROUP BY site),
+x1 AS (SELECT site, {", ".join(f"bool_or({s}) AS {s}" for s in P.SIGNALS)}, arg_min(coalesce(title, ''), nth) AS title, string_agg(final_url, ' ' ORDER BY nth) AS checked_pages, bool_or(rendered) AS hidden FROM seen GROUP BY site),
+x2 AS (SELECT *, ({SCORE_SQL}) AS ecom_score, has_cart OR has_checkout AS ord, has_catalog OR has_product_page OR has_structured_product_data AS struct_, has_price OR has_buy_button AS com FROM x1),
+x3 AS (SELECT x2.*, hacked_terms, marketplace_links, evidence_pages, e.final_url, e.status AS http_status, CASE WHEN contains(e.final_url, '//ozon.ru/') THEN 0 WHEN hacked_terms <> '' THEN 1 WHEN ord AND struct_ AND com THEN 2 WHEN ord AND ecom_score >= 6 THEN 3 WHEN ord THEN 4
+  WHEN request_only OR callback_only OR quote_only THEN 5 WHEN has_b2b_language AND NOT has_consumer_language THEN 6 WHEN struct_ AND com AND ecom_score >= 5 THEN 7 WHEN struct_ AND ecom_score >= 6 THEN 8 WHEN has_manufacturer_language AND struct_ AND n_links > 0 THEN 9 ELSE 10 END AS c
+  FROM x2 JOIN entries e USING (site) LEFT JOIN lnk USING (site) LEFT JOIN hck USING (site) LEFT JOIN evi USING (site)),
+pl AS (SELECT site, string_agg(final_url, ' ' ORDER BY nth) AS checked_pages FROM every GROUP BY site),
+tt AS (SELECT page_id, {TITLE_SQL} AS title FROM shown)
+SELECT w.row_idx, w.requested_url, w.site AS normalized_url, e.final_url, CASE WHEN w.site IS NOT NULL THEN {OWN_DOMAIN.format('coalesce(e.final_url, w.site)')} END AS domain,
+  CASE WHEN x.site IS NOT NULL THEN nullif(x.title, '') ELSE tt.title END AS title, e.status AS http_status,
+  CASE WHEN w.site IS NULL THEN 'NO_SITE' WHEN e.site IS NULL THEN 'BROKEN' WHEN x.site IS NULL AND contains(e.final_url, '//ozon.ru/') THEN 'NOT_FIT' WHEN x.site IS NULL THEN 'BROKEN' ELSE {STATUSES} END AS status,
+  CASE WHEN w.site IS NULL THEN 'no address of a site' WHEN e.site IS NULL THEN 'the site gave no response' WHEN x.site IS NULL AND contains(e.final_url, '//ozon.ru/') THEN 'marketplace, not a site of its own' WHEN x.site IS NULL THEN 'HTTP ' || e.status
+    ELSE {REASONS} || CASE WHEN hidden THEN '; read in a rendered page after HTTP ' || e.status ELSE '' END END AS reason,
+  coalesce(x.ecom_score, 0)::INTEGER AS ecom_score, coalesce(evidence_pages, '') AS evidence_pages, CASE WHEN x.site IS NOT NULL THEN x.checked_pages ELSE coalesce(pl.checked_pages, '') END AS checked_pages,
+  coalesce(marketplace_links, '') AS marketplace_links, coalesce(hacked_terms, '') AS hacked_terms, coalesce(x.has_marketplace_a, false) AS has_marketplace_a, coalesce(x.has_marketplace_b, false) AS has_marketplace_b,
+  CASE WHEN w.site IS NOT NULL AND e.site IS NULL THEN 'no stored response of https://' || requested_url || ', https://' || requested_url || '/, https://www.' || requested_url || '/, http://' || requested_url || '/, http://www.' || requested_url || '/' END AS error
+FROM wanted w LEFT JOIN entries e USING (site) LEFT JOIN x3 x USING (site) LEFT JOIN pl USING (site) LEFT JOIN tt ON tt.page_id = e.page_id
+"""
+
+
+def audited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report columns of the audit beside the rows that were asked for; every third row has no result."""
+    asked = _requests(spark, sf_dir)
+    audit = A.audit_sites(asked.where("row_idx % 3 > 0"), _responses(spark, sf_dir), PAGE_TERMS)
+    return A.export_audit(asked, audit)
 
 
 AUDITED_ROWS = f"""
-WITH {SITES_SQL.replace("regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain), (", DOMAIN_SQL + " AS domain), (")},
-f AS (SELECT evidence_pages, CASE c WHEN 1 THEN 'HACKED' WHEN 2 THEN 'FIT_NOW' WHEN 3 THEN 'FIT_NOW' WHEN 4 THEN 'FIT_LATER' WHEN 7 THEN 'FIT_LATER' WHEN 8 THEN 'FIT_LATER' WHEN 9 THEN 'FIT_LATER' ELSE 'NOT_FIT' END AS status FROM z WHERE domain = 'example.com')
-SELECT c_custkey AS row_idx, CASE c_custkey % 4 WHEN 0 THEN 'http://shop.example.com/x' WHEN 1 THEN 'not a site' WHEN 2 THEN 'https://ozon.ru/a' ELSE 'missing.example' END AS url,
-  CASE c_custkey % 4 WHEN 0 THEN (SELECT status FROM f) WHEN 1 THEN 'NO_SITE' WHEN 2 THEN 'NOT_FIT' ELSE 'BROKEN' END AS audit_status, CASE c_custkey % 4 WHEN 0 THEN (SELECT evidence_pages FROM f) ELSE 0 END AS audit_evidence_pages
-FROM customer
+SELECT CASE WHEN row_idx % 3 > 0 THEN status END AS site_status, CASE WHEN row_idx % 3 > 0 THEN reason END AS site_reason, CASE WHEN row_idx % 3 > 0 THEN http_status END AS http_status,
+  CASE WHEN row_idx % 3 > 0 THEN CASE WHEN has_marketplace_a THEN 'yes' ELSE 'no' END END AS marketplace_a, CASE WHEN row_idx % 3 > 0 THEN CASE WHEN has_marketplace_b THEN 'yes' ELSE 'no' END END AS marketplace_b,
+  CASE WHEN row_idx % 3 > 0 THEN replace(marketplace_links, ' ', '; ') END AS marketplace_links, row_idx, requested_url AS url FROM ({SITE_AUDITS})
 """
 
 
@@ -297,8 +389,8 @@ SELECT event_id AS page_id, CASE event_type WHEN 'click' THEN 'https://www.wildb
   CASE event_type WHEN 'click' THEN 'Item Shop Shop' WHEN 'view' THEN 'Item Shop' WHEN 'purchase' THEN 'Item Shop' ELSE 'Item' END AS snippet FROM events
 """
 
-QUERIES = {f.__name__: f for f in (page_audit, html_text, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, term_hits, seller_links)}
+QUERIES = {f.__name__: f for f in (page_audit, html_text, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, site_audits, term_hits, seller_links)}
 ORACLES = {
     "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN, "crawl_resolved": CRAWL_RESOLVED,
-    "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS, "term_hits": TERM_HITS, "seller_links": SELLER_LINKS,
+    "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS, "site_audits": SITE_AUDITS, "term_hits": TERM_HITS, "seller_links": SELLER_LINKS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import norm_inn, norm_key
+from ..functions.cells import category_of, norm_inn, norm_key
 from ..operators import outcomes as O
 from ..operators import registry as R
 from .bindings import BATCH_SQL, CUT, IMPORTED_AT, KNOWN_SQL, LATER_SQL, LISTING_SQL, REGISTRY_SQL, batch, known_sellers, later, listing, load, registry_before
@@ -81,10 +81,11 @@ def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history_sql(where: str) -> str:
-    last = lambda c: f"arg_max({c}, file_ord * 1000000000 + row_idx) FILTER ({c} <> '') AS {c}"
-    o = "file_ord * 1000000000 + row_idx"
+    last = lambda c: f"arg_max({c}, file_ord) FILTER ({c} <> '') AS {c}"
+    o = "file_ord"
+    once = f"(SELECT * FROM b WHERE {where} AND trim(seller) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(seller)), file_ord ORDER BY row_idx) = 1)"
     return f"""SELECT lower(trim(seller)) AS seller_key, arg_min(seller, {o}) AS seller, count(*) AS seen_count, arg_min(file, {o}) AS first_source, arg_max(file, {o}) AS last_source,
-  bool_or(coalesce(inn, '') <> '' OR status IN ('SUCCESS')) AS skip, {last("display_name")}, {last("inn")}, {last("status")}, {last("brand")} FROM b WHERE {where} AND trim(seller) <> '' GROUP BY 1"""
+  bool_or(coalesce(inn, '') <> '' OR status IN ('SUCCESS')) AS skip, {last("display_name")}, {last("inn")}, {last("status")}, {last("brand")} FROM {once} GROUP BY 1"""
 
 
 HISTORY_UPSERT = f"""
@@ -108,6 +109,98 @@ SELECT seller_key, (coalesce(o.seen_count, 0) + coalesce(n.seen_count, 0))::BIGI
 """
 
 
+def _result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches under the names of result files, in folders of categories."""
+    b = batch(spark, sf_dir)
+    path = F.concat(F.lit("/data/results/Kind "), (F.col("file_ord") % 3).cast("string"), F.lit("/Part/"), F.col("file"), F.lit(".csv"))
+    url = F.when(F.col("row_idx") % 3 == 0, F.concat(F.lit("https://w.example/seller/"), F.trim("seller")))
+    return b.select(
+        path.alias("file"), "file_ord", "row_idx", F.col("seller").alias("marketguru_seller_name"), F.col("display_name").alias("wb_seller_name"), url.alias("wb_seller_url"), "inn",
+        F.when(F.col("row_idx") % 2 == 0, F.lit("LLC")).otherwise("").alias("entity_type"), F.col("status").alias("parse_status"), F.col("brand").alias("parse_note"), "ts",
+    )
+
+
+def _seller_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators import history as HI
+
+    files = _result_files(spark, sf_dir)
+    early = HI.update_history(spark.createDataFrame([], HI.SELLER_HISTORY), files.where(F.col("ts") < CUT), category_of(F.col("file")), "2024-01-15 06:00:00")
+    return early, files.where(F.col("ts") >= CUT)
+
+
+def seller_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6, N22 at full width: two imports of result files, one upon the other."""
+    from ..operators import history as HI
+
+    early, files = _seller_history(spark, sf_dir)
+    return HI.update_history(early, files, category_of(F.col("file")), IMPORTED_AT)
+
+
+def seller_history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 at full width: the rows of a registry, with times, sources, counts and categories of their own, go into a history."""
+    from ..operators import history as HI
+
+    early, files = _seller_history(spark, sf_dir)
+    registry = early.withColumnRenamed("last_seller_name_raw", "seller_name_raw").select("seller_name_raw", "seen_count", "first_seen_at", "first_source_batch", "last_category", F.col("last_parse_status").alias("parse_status"), "inn")
+    rows = registry.where("seller_name_raw not like '%7'").select(F.lit("registry.xlsx").alias("file"), F.lit(1).alias("file_ord"), F.crc32("seller_name_raw").alias("row_idx"), "*")
+    late = HI.update_history(spark.createDataFrame([], HI.SELLER_HISTORY), files, category_of(F.col("file")), IMPORTED_AT)
+    return HI.update_history(late, rows, F.lit("inn_registry"), "2024-04-01 00:00:00")
+
+
+def seller_history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of the import log for each file of the second import, and the totals."""
+    from ..operators import history as HI
+
+    early, files = _seller_history(spark, sf_dir)
+    metrics = HI.history_metrics(early, files)
+    log = HI.history_log(metrics, category_of(F.col("file")), IMPORTED_AT)
+    total = HI.history_totals(metrics).drop("files").select(F.lit(IMPORTED_AT).alias("imported_at"), F.lit("all").alias("source_batch_file"), F.lit("").alias("category"), "*")
+    return log.unionByName(total)
+
+
+ONCE_SQL = f"""{BATCH_SQL}, s AS (SELECT lower(trim(coalesce(nullif(seller, ''), display_name, ''))) AS key, '/data/results/Kind ' || (file_ord % 3)::VARCHAR || '/Part/' || file || '.csv' AS path, 'Kind ' || (file_ord % 3)::VARCHAR || ' / Part' AS category,
+  file_ord, row_idx, ts, nullif(seller, '') AS name, nullif(display_name, '') AS display, CASE WHEN row_idx % 3 = 0 THEN 'https://w.example/seller/' || trim(seller) END AS url, CASE WHEN row_idx % 2 = 0 THEN 'LLC' END AS entity,
+  k AS inn, nullif(status, '') AS status, nullif(brand, '') AS note, row_number() OVER (PARTITION BY lower(trim(coalesce(nullif(seller, ''), display_name, ''))), file_ord ORDER BY row_idx) AS nth FROM b)"""
+
+
+def _fold_sql(where: str, at: str) -> str:
+    first = lambda c: f"arg_min({c}, file_ord) FILTER ({c} IS NOT NULL)"
+    last = lambda c: f"arg_max({c}, file_ord) FILTER ({c} IS NOT NULL)"
+    return f"""SELECT key AS seller_key, {first("name")} AS first_seller_name_raw, {last("name")} AS last_seller_name_raw, {last("display")} AS seller_display_name, {last("url")} AS seller_url, {last("entity")} AS entity_type, {last("inn")} AS inn,
+  NULL::VARCHAR AS ogrn, NULL::VARCHAR AS ogrnip, {first("status")} AS first_parse_status, {last("status")} AS last_parse_status, {first("note")} AS first_note, {last("note")} AS last_note, bool_or(inn IS NOT NULL OR status = 'SUCCESS') AS skip_recommended, count(*) AS seen_count,
+  '{at}' AS first_seen_at, '{at}' AS last_seen_at, arg_min(path, file_ord) AS first_source_batch, arg_max(path, file_ord) AS last_source_batch, arg_min(category, file_ord) AS first_category, arg_max(category, file_ord) AS last_category FROM s WHERE {where} AND key <> '' AND nth = 1 GROUP BY key"""
+
+
+def _merged_sql() -> str:
+    from ..operators.history import COLUMNS
+
+    def value(c: str) -> str:
+        if c == "seller_key":
+            return c
+        if c == "seen_count":
+            return "coalesce(o.seen_count, 0) + coalesce(n.seen_count, 0) AS seen_count"
+        if c == "skip_recommended":
+            return "coalesce(o.skip_recommended, false) OR coalesce(n.skip_recommended, false) AS skip_recommended"
+        return f"coalesce(o.{c}, n.{c}) AS {c}" if c.startswith("first_") else f"coalesce(n.{c}, o.{c}) AS {c}"
+
+    return "SELECT " + ", ".join(map(value, COLUMNS)) + " FROM o FULL JOIN n USING (seller_key)"
+
+
+EARLY_SQL, LATE_SQL = _fold_sql(f"ts < TIMESTAMP '{CUT}'", "2024-01-15 06:00:00"), _fold_sql(f"ts >= TIMESTAMP '{CUT}'", IMPORTED_AT)
+SELLER_HISTORY = f"WITH {ONCE_SQL}, o AS ({EARLY_SQL}), n AS ({LATE_SQL}) {_merged_sql()}"
+SELLER_HISTORY_IMPORT = f"""
+WITH {ONCE_SQL}, e AS ({EARLY_SQL}), o AS ({LATE_SQL}), n AS (SELECT seller_key, last_seller_name_raw AS first_seller_name_raw, last_seller_name_raw, NULL::VARCHAR AS seller_display_name, NULL::VARCHAR AS seller_url, NULL::VARCHAR AS entity_type, inn,
+  NULL::VARCHAR AS ogrn, NULL::VARCHAR AS ogrnip, last_parse_status AS first_parse_status, last_parse_status, NULL::VARCHAR AS first_note, NULL::VARCHAR AS last_note, inn IS NOT NULL OR last_parse_status = 'SUCCESS' AS skip_recommended, seen_count, first_seen_at, first_seen_at AS last_seen_at,
+  first_source_batch, 'registry.xlsx' AS last_source_batch, 'inn_registry' AS first_category, last_category FROM e WHERE last_seller_name_raw NOT LIKE '%7') {_merged_sql()}"""
+SELLER_HISTORY_LOG = f"""
+WITH {ONCE_SQL}, h AS (SELECT DISTINCT key FROM s WHERE ts < TIMESTAMP '{CUT}' AND key <> ''),
+x AS (SELECT *, row_number() OVER (PARTITION BY key, file_ord ORDER BY row_idx) AS rn, dense_rank() OVER (PARTITION BY key ORDER BY file_ord) AS fn, key IN (SELECT key FROM h) AS had FROM s WHERE ts >= TIMESTAMP '{CUT}')
+SELECT '{IMPORTED_AT}' AS imported_at, coalesce(path, 'all') AS source_batch_file, CASE WHEN grouping(path) = 1 THEN '' ELSE any_value(category) END AS category, count(*) AS rows_total, count(*) FILTER (key <> '') AS rows_with_seller, count(*) FILTER (key <> '' AND rn = 1) AS unique_seller_in_file,
+  count(*) FILTER (key <> '' AND rn = 1 AND NOT had AND fn = 1) AS new_seller_added, count(*) FILTER (key <> '' AND rn = 1 AND (had OR fn > 1)) AS already_known, count(*) FILTER (key <> '' AND rn > 1) AS duplicate_in_file, count(*) FILTER (key = '') AS skipped_without_seller,
+  count(*) FILTER (key <> '' AND rn = 1 AND (inn IS NOT NULL OR status = 'SUCCESS')) AS skip_recommended_in_file FROM x GROUP BY ROLLUP (path)
+"""
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = load(spark, sf_dir, "customer")
     key = F.when(F.col("c_custkey") % 13 == 0, " ").otherwise(F.concat(F.lit("K"), F.floor(F.col("c_custkey") / 2).cast("string")))
@@ -267,6 +360,7 @@ _PAIRS = [
     (first_wins_listing, FIRST_WINS), (duplicate_marks, DUPLICATES), (import_metrics, METRICS), (registry_upsert, UPSERT), (registry_new_keys, NEW_KEYS), (history_upsert, HISTORY_UPSERT), (history_import, HISTORY_IMPORT),
     (registry_merge, MERGE), (registry_merge_metrics, MERGE_METRICS), (import_logs, IMPORT_LOGS), (seller_keys, SELLER_KEYS), (routed_rows, ROUTED), (excluded_rows, EXCLUDED), (enriched, ENRICHED), (enrichment_rate, RATE),
     (unmatched_rows, UNMATCHED), (unique_inns, UNIQUE_INNS), (rows_without_inn, NO_INN), (best_attempts, BEST_ATTEMPTS), (error_rows, ERROR_ROWS),
+    (seller_history, SELLER_HISTORY), (seller_history_import, SELLER_HISTORY_IMPORT), (seller_history_log, SELLER_HISTORY_LOG),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}
