@@ -1,6 +1,7 @@
 """Chained passages against brute force, and the secret scan against held-out findings."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -59,6 +60,62 @@ def test_passages(spark):
     assert chains.shared_passages(spark, docs.limit(0)).count() == 0
 
 
+def test_passages_among_texts_that_hold_parts_of_them(spark):
+    """The first places of a passage's seeds lie in texts that share a few words, or a third of the passage, and nothing else."""
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    passages = [new(60 if k % 2 else 50) for k in range(20)]
+    texts = [new(20) + p + new(rng.randrange(30)) for p in passages for _ in range(2)]
+    for n in range(100):
+        some = []
+        for p in passages:
+            k = 20 if n % 10 == 0 else 5
+            at = rng.randrange(len(p) - k)
+            some += p[at : at + k] + new(20)
+        texts.append(some)
+    rng.shuffle(order := list(range(len(texts))))
+    docs = spark.createDataFrame([(order[i], " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    out = chains.shared_passages(spark, docs).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in out}
+    assert pairs == {(order[2 * i + a], order[2 * i + 1 - a]) for i in range(20) for a in (0, 1)}
+
+
+def test_rows_hold_what_they_say(spark):
+    """Both ways on a corpus of edited passages: every run of 51 equal words is in some row, and in every row the words that
+    are said to agree do so in order."""
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    base = [new(rng.randrange(50, 140)) for _ in range(12)]
+
+    def edited(words):
+        out = list(words)
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            at = rng.randrange(len(out))
+            out[at : at + rng.choice([0, 1, 1, 2])] = new(rng.choice([0, 1, 1]))
+        return out
+
+    texts = [sum([new(rng.randrange(25)) + edited(rng.choice(base)) for _ in range(rng.randrange(1, 4))], []) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    out = chains.shared_passages(spark, docs).collect()
+    want = {i for i in range(60) for j in range(60) if i != j and shares_run(texts[i], texts[j], 51)}
+    assert want <= {r.doc_id for r in out}
+
+    def longest(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            old = 0
+            for j, d in enumerate(y, 1):
+                old, row[j] = row[j], old + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1]
+
+    length = Counter()
+    for r in out:
+        x, y = texts[r.doc_id][r.start_word : r.end_word], texts[r.other_doc_id][r.other_start : r.other_end]
+        assert r.matched <= longest(x, y) and r.matched >= chains.AGREE * max(len(x), len(y))
+        length[r.doc_id, r.other_doc_id] += len(x)
+    assert len(want) > 30 and min(length.values()) >= 40
+
+
 def test_forest_on_held_out_findings(spark):
     held = secrets.labelled_findings(600, seed=77)
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string")
