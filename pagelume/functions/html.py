@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup
 from .cells import clean_entity, compact, let, norm_lines, norm_phone, unique_ci
 from .dictionaries import (
     BLOCK_MARKS,
@@ -22,10 +23,10 @@ from .dictionaries import (
     SELLER_INFO_CLASSES,
     SOCIAL_DOMAINS,
 )
+from .markup import decode_entities
 from .urls import join_url, registered_domain, seller_url
 
 LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -45,35 +46,24 @@ def present_terms(c: Column, terms: tuple[str, ...]) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
-def decode_entities(c: Column) -> Column:
-    return reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
-
-
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", " ")
+    return markup.without_tags(c)
 
 
 def html_text(html: Column) -> Column:
     """The visible text of the body (of all, without a body): no comments, scripts, styles and tags; single-spaced."""
-    body = F.regexp_replace(html, r"(?is)^.*?<body[^>]*>", "")
-    body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
-    body = F.regexp_replace(body, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return compact(decode_entities(strip_tags(body)))
+    return markup.visible_text(markup.body(markup.scanned(html)))
 
 
 def html_title(html: Column) -> Column:
-    """E2"""
-    return F.nullif(compact(decode_entities(strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))), F.lit(""))
-
-
-ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*["\']?([^"\'>\s]*)[^>]*>(.*?)</a>'
+    """The text of the first title element; tags inside it are text."""
+    title = F.regexp_extract(markup.scanned(html), rf"(?is)<title(?=[\s/>]){markup.ATTRIBUTES}>(.*?)(?:</title(?=[\s/>])|\z)", 1)
+    return F.nullif(compact(decode_entities(title)), F.lit(""))
 
 
 def anchor_array(html: Column) -> Column:
     """Array of (href, text) in page order."""
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)), lambda t: compact(decode_entities(strip_tags(t))))
-    return F.arrays_zip(F.transform(hrefs, decode_entities).alias("href"), texts.alias("text"))
+    return markup.links(markup.scanned(html))
 
 
 def extract_inn(c: Column) -> Column:
@@ -226,8 +216,6 @@ def first_of_sources(extract, *sources: Column) -> Column:
     return F.coalesce(*[extract(s) for s in sources])
 
 
-
-
 def seller_link(html: Column, base: Column, label: str = "Подробнее о продавце", allow_slug: bool = True, most: int = 12) -> Column:
     """The seller page that a product page links to: the labelled anchor, which may have a name, else the first numbered
     seller path among the first `most` anchors that hold '/seller/'."""

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
+from ..functions.markup import NAMED
 from ..operators import audit as A
 from ..operators import outcomes as O
 from ..operators import pages as P
 from .bindings import PAGE_TERMS, load, seller_pages
 
-ENT = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
+ENT = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def ents(sql: str) -> str:
@@ -64,6 +65,48 @@ RESOLVE_SQL = r"""CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//
 PAGE_ANCHORS = f"WITH {LINKS_SQL} SELECT page_id, pos, href, text, {RESOLVE_SQL} AS link FROM a"
 
 
+ODD = (
+    """<!-- <p>hidden</p> <a href="/no">no</a> -- -->""", """<script>if (a<b && c>d) { x = "<p>" }</SCRIPT >""", """<p title="5 > 4" data-x='<b>'>quoted</p>""", """&#8381; &#x20BD; &euro; &amp;lt; &nosuch; &hellip;""",
+    """<a title="href=/no" href='/single?a=1&amp;b=2'>one<a href=/bare>two</a>""", """1 < 2 and 3 > 2""", """<STYLE media="a>b">p > a {}</style><![CDATA[x]]>""", """<p><b>open<i>tags""",
+)
+
+
+def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 - E3 on pages into which odd markup was put, by page_id, in front of the title and of the article."""
+    part = F.get(F.array(*map(F.lit, ODD)), (F.col("page_id") % len(ODD)).cast("int"))
+    html = F.regexp_replace(F.replace("html", F.lit("<article>"), F.concat(part, F.lit("<article>"))), "<title>", F.when(F.col("page_id") % 3 == 0, "<!-- <title>no</title> --><TITLE lang='a>b'>").otherwise("<title>"))
+    p = load(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    links = F.array_join(F.transform(H.anchor_array(F.col("html")), lambda a: F.concat_ws(" ", a["href"], a["text"])), " | ")
+    return p.select("page_id", H.html_text(F.col("html")).alias("text"), H.html_title(F.col("html")).alias("title"), links.alias("links"))
+
+
+ATTRS_SQL = r"""(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)?)*"""
+TAGS_SQL = rf"</?[a-z]{ATTRS_SQL}>"
+TOKENS_SQL = rf"(?is)(?:<!--(?:-?>|.*?(?:--!?>|\z))|<script(?:[\s/]{ATTRS_SQL})?>.*?(?:</script(?:[\s/][^>]*)?>|\z)|<style(?:[\s/]{ATTRS_SQL})?>.*?(?:</style(?:[\s/][^>]*)?>|\z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>)|(<title(?:[\s/]{ATTRS_SQL})?>.*?(?:</title(?:[\s/][^>]*)?>|\z)|{TAGS_SQL})"
+ENTITY_SQL = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+NAMES_SQL = "MAP {" + ", ".join("'" + k + "': '" + v.replace("'", "''") + "'" for k, v in NAMED.items()) + "}"
+
+
+def decoded_sql(text: str) -> str:
+    one = f"CASE WHEN e LIKE '&#x%' OR e LIKE '&#X%' THEN chr(('0x' || e[4:-2])::INTEGER) WHEN e LIKE '&#%' THEN chr(e[3:-2]::INTEGER) ELSE coalesce(names[e[2:-2]], e) END"
+    return f"list_aggregate(list_transform(list_zip(regexp_split_to_array({text}, '{ENTITY_SQL}'), list_concat(list_transform(regexp_extract_all({text}, '{ENTITY_SQL}'), lambda e: {one}), [''])), lambda z: z[1] || z[2]), 'string_agg', '')"
+
+
+ODD_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ODD) + "]"
+HREF_SQL = r"""(?is)^<a(?:[\s/]+|[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)?)?)*?[\s/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']*))"""
+ODD_PAGES = rf"""
+WITH names AS (SELECT {NAMES_SQL} AS names),
+o AS (SELECT page_id, replace(replace(html, '<article>', {ODD_SQL}[page_id % {len(ODD)} + 1] || '<article>'), '<title>', CASE WHEN page_id % 3 = 0 THEN '<!-- <title>no</title> --><TITLE lang=''a>b''>' ELSE '<title>' END) AS html FROM pages),
+c AS (SELECT page_id, names, regexp_replace(html, '{TOKENS_SQL}', ' \1', 'g') AS h FROM o, names),
+t AS (SELECT page_id, names, h, regexp_replace(regexp_replace(h, '(?is)^.*?<body(?:[\s/]{ATTRS_SQL})?>', ''), '(?is){TAGS_SQL}', ' ', 'g') AS b, regexp_extract(h, '(?is)<title(?:[\s/]{ATTRS_SQL})?>(.*?)</title', 1) AS ti FROM c),
+l0 AS (SELECT page_id, names, unnest(list_zip(regexp_extract_all(h2, '(?is)(<a[\s/]{ATTRS_SQL})>(.*?)(?:</a>|\z)', 1), regexp_extract_all(h2, '(?is)(<a[\s/]{ATTRS_SQL})>(.*?)(?:</a>|\z)', 2))) AS z, generate_subscripts(regexp_extract_all(h2, '(?is)<a[\s/]{ATTRS_SQL}>(.*?)(?:</a>|\z)'), 1) AS i
+  FROM (SELECT page_id, names, regexp_replace(h, '(?i)<a([\s/])', '</a><a\1', 'g') AS h2 FROM t)),
+l1 AS (SELECT page_id, names, i, regexp_extract(z[1], '{HREF_SQL}', 1) || regexp_extract(z[1], '{HREF_SQL}', 2) || regexp_extract(z[1], '{HREF_SQL}', 3) AS href, regexp_replace(z[2], '(?is){TAGS_SQL}', ' ', 'g') AS text FROM l0),
+l AS (SELECT page_id, string_agg({decoded_sql("href")} || ' ' || {squeeze(decoded_sql("text"))}, ' | ' ORDER BY i) AS links FROM l1 GROUP BY page_id)
+SELECT t.page_id, {squeeze(decoded_sql("b"))} AS text, nullif({squeeze(decoded_sql("ti"))}, '') AS title, coalesce(links, '') AS links FROM t LEFT JOIN l USING (page_id)
+"""
+
+
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E22, E24 - E27"""
     s = P.page_signals(load(spark, sf_dir, "pages"), PAGE_TERMS)
@@ -389,8 +432,8 @@ SELECT event_id AS page_id, CASE event_type WHEN 'click' THEN 'https://www.wildb
   CASE event_type WHEN 'click' THEN 'Item Shop Shop' WHEN 'view' THEN 'Item Shop' WHEN 'purchase' THEN 'Item Shop' ELSE 'Item' END AS snippet FROM events
 """
 
-QUERIES = {f.__name__: f for f in (page_audit, html_text, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, site_audits, term_hits, seller_links)}
+QUERIES = {f.__name__: f for f in (page_audit, html_text, odd_pages, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, site_audits, term_hits, seller_links)}
 ORACLES = {
-    "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN, "crawl_resolved": CRAWL_RESOLVED,
+    "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "odd_pages": ODD_PAGES, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN, "crawl_resolved": CRAWL_RESOLVED,
     "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS, "site_audits": SITE_AUDITS, "term_hits": TERM_HITS, "seller_links": SELLER_LINKS,
 }
