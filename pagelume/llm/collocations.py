@@ -1,15 +1,16 @@
-"""Operator 12: collocations by top-order marginalisation. Spark SQL functions only.
+"""Operator 12: collocations by top-order marginalisation.
 
 Every word of a piece opens one window of `max_words` words, padded with nulls where the piece ends: its lead columns are
-the piece's word array and that array shifted by 1, 2, ... places, so no window function has to bring a text's words
-together. Only these longest windows are counted. Each phrase of fewer words is a prefix of windows and a ROLLUP over the
-first max_words - 1 columns sums the counts of windows for every shorter prefix, down to the number of all words of a
-language. A phrase's last part is a prefix of other windows, so one table has the counts of all parts.
+the text's words shifted by 1, 2, ... places, so no window function has to bring a text's words together. Only these longest
+windows are counted, first within the tasks that read the texts. Each phrase of fewer words is a prefix of windows and a
+ROLLUP over the first max_words - 1 columns sums the counts of windows for every shorter prefix, down to the number of all
+words of a language. A phrase's last part is a prefix of other windows, so one table has the counts of all parts.
 
-Scale: counts are partial sums before each shuffle, so a word or phrase that a third of all windows have is one row for
-each task. Phrases that occur `min_count` times are written once; later joins and groups see only those, their keys are
-phrases, and the join on a part is one that Spark may split where many phrases share it. The report's ranks are limited in
-each task before the shuffle. Products are decimals of 38 digits, quotients are floored exactly.
+Scale: a task numbers the words of CHUNK words at a time and counts their windows as numbers, so a window that a third of
+all rows have is one row for each chunk, and memory is one chunk. Counts are partial sums again before each shuffle. Phrases
+that occur `min_count` times are written once; later joins and groups see only those, their keys are phrases, and the join
+on a part is one that Spark may split where many phrases share it. The report's ranks are limited in each task before the
+shuffle. Products are decimals of 38 digits, quotients are floored exactly.
 
 Defined cases: null text has no words; null lang is `und`; repeated rows count as often as they occur; a word of any length
 is a word; an empty table gives no rows; extra columns are ignored. Equal scores are ordered by a, then by the phrase's bytes.
@@ -17,31 +18,88 @@ is a word; an empty table gives no rows; extra columns are ignored. Equal scores
 
 from __future__ import annotations
 
-import string
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch, table
 
-SEPARATORS = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
-
-
-def padded_windows(docs: DataFrame, max_words: int) -> DataFrame:
-    """lang and w1 ... wN: a row for each word of docs (lang, text)."""
-    text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, SEPARATORS)).alias("piece"))
-    pieces = pieces.select("lang", F.trim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    opened = pieces.select("lang", F.split("piece", BLANKS).alias("words")).select("lang", "words", F.posexplode("words").alias("k", "w1"))
-    leads = [F.get("words", F.col("k") + i).alias(f"w{i + 1}") for i in range(1, max_words)]
-    return opened.select("lang", "w1", *leads)
+#: Words whose windows a task counts at a time.
+CHUNK = 2_000_000
+#: Bytes of a text as they count: A-Z in lower case, separators as line ends, tabs as blanks.
+BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+class Numbers(dict):
+    """Numbers of words, from 1 on, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self) + 1
+        return out
+
+
+def counted_windows(lang: str, numbers: Numbers, stream: array, max_words: int) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of a stream of word numbers, in which each piece ends with max_words - 1 zeros."""
+    if not stream:
+        return
+    whole = np.frombuffer(stream, np.uint32).astype(np.int64)
+    n = len(whole) - max_words + 1
+    leads = [whole[k : k + n] for k in range(max_words)]
+    opens = leads[0] > 0
+    leads = [x[opens] for x in leads]
+    for x, y in zip(leads, leads[1:]):
+        y[x == 0] = 0  # what follows the piece's end is no part of the window
+    base = len(numbers) + 1
+    key, bound = leads[0], base
+    for x in leads[1:]:
+        if bound * base >= 1 << 63:
+            values, key = np.unique(key, return_inverse=True)
+            bound = len(values)
+        key, bound = key * base + x, bound * base
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    words = pa.array([None, *numbers], pa.binary()).view(pa.string())
+    for k in range(0, len(first), 100_000):
+        some = first[k : k + 100_000]
+        columns = [words.take(pa.array(x[some])) for x in leads]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), *columns, pa.array(counts[k : k + 100_000])], ["lang", *[f"w{i}" for i in range(1, max_words + 1)], "n"])
+
+
+def windows(docs: DataFrame, max_words: int, chunk: int = CHUNK) -> DataFrame:
+    """lang, w1 ... wN, n: the windows of docs (lang, text) with counts, each perhaps several times."""
+    gap = [0] * (max_words - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams: dict[str, tuple[Numbers, array]] = {}
+        n = 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                for lang, text in zip(*[c.slice(k, 64).to_pylist() for c in batch.columns], strict=True):
+                    numbers, stream = streams.setdefault("und" if lang is None else lang, (Numbers(), array("I")))
+                    before = len(stream)
+                    for piece in (text or "").encode().translate(BYTES).split(b"\n"):
+                        if words := piece.split():
+                            stream.extend(map(numbers.__getitem__, words))
+                            stream.extend(gap)
+                    n += len(stream) - before
+                if n >= chunk:
+                    for of, (numbers, stream) in streams.items():
+                        yield from counted_windows(of, numbers, stream, max_words)
+                    streams, n = {}, 0
+        for of, (numbers, stream) in streams.items():
+            yield from counted_windows(of, numbers, stream, max_words)
+
+    names = ", ".join(f"w{k} string" for k in range(1, max_words + 1))
+    return docs.select("lang", "text").mapInArrow(run, f"lang string, {names}, n long")
 
 
 def phrase_counts(docs: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """lang, words (array), f: the phrases of 1 to max_words words that occur min_count times, and one row without words for all words of a lang."""
     names = [f"w{k}" for k in range(1, max_words + 1)]
-    longest = padded_windows(docs, max_words).groupBy("lang", *names).agg(F.count("*").alias("f"))
+    longest = windows(docs, max_words).groupBy("lang", *names).agg(F.sum("n").alias("f"))
     whole = longest.select("lang", F.array(*names).alias("words"), "f")
     shorter = names[:-1]
     summed = longest.groupingSets([["lang", *shorter[:k]] for k in range(len(shorter), -1, -1)], "lang", *shorter).agg(F.sum("f").alias("f"), F.grouping_id().alias("gid"))
