@@ -2,15 +2,16 @@
 
 Every word of a piece opens one window of `max_words` words, padded with nulls where the piece ends: its lead columns are
 the text's words shifted by 1, 2, ... places, so no window function has to bring a text's words together. Only these longest
-windows are counted, first within the tasks that read the texts. Each phrase of fewer words is a prefix of windows and a
-ROLLUP over the first max_words - 1 columns sums the counts of windows for every shorter prefix, down to the number of all
-words of a language. A phrase's last part is a prefix of other windows, so one table has the counts of all parts.
+windows are counted, first within the tasks that read the texts. Each phrase of fewer words is a prefix of windows, whose
+counts are summed for every shorter prefix: windows meet by their first two words, so those of two words and more are sums
+within partitions, and a ROLLUP gives single words and the number of all words of a language. A phrase's last part is a
+prefix of other windows, so one table has the counts of all parts.
 
 Scale: a task numbers the words of CHUNK words at a time and counts their windows as numbers, so a window that a third of
-all rows have is one row for each chunk, and memory is one chunk. Counts are partial sums again before each shuffle. Phrases
-that occur `min_count` times are written once; later joins and groups see only those, their keys are phrases, and the join
-on a part is one that Spark may split where many phrases share it. The report's ranks are limited in each task before the
-shuffle. Products are decimals of 38 digits, quotients are floored exactly.
+all rows have is one row for each chunk, and memory is one chunk. Windows are shuffled once. Phrases that occur `min_count`
+times are written once; later joins and groups see only those, their keys are phrases, and the join on a part is one that
+Spark may split where many phrases share it. The report's ranks are limited in each task before the shuffle. Products are
+decimals of 38 digits, quotients are floored exactly.
 
 Defined cases: null text has no words; null lang is `und`; repeated rows count as often as they occur; a word of any length
 is a word; an empty table gives no rows; extra columns are ignored. Equal scores are ordered by a, then by the phrase's bytes.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .store import Scratch, table
 
 #: Words whose windows a task counts at a time.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 #: Bytes of a text as they count: A-Z in lower case, separators as line ends, tabs as blanks.
 BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -99,17 +100,18 @@ def windows(docs: DataFrame, max_words: int, chunk: int = CHUNK) -> DataFrame:
 def phrase_counts(docs: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """lang, words (array), f: the phrases of 1 to max_words words that occur min_count times, and one row without words for all words of a lang."""
     names = [f"w{k}" for k in range(1, max_words + 1)]
-    longest = windows(docs, max_words).groupBy("lang", *names).agg(F.sum("n").alias("f"))
-    whole = longest.select("lang", F.array(*names).alias("words"), "f")
-    shorter = names[:-1]
-    summed = longest.groupingSets([["lang", *shorter[:k]] for k in range(len(shorter), -1, -1)], "lang", *shorter).agg(F.sum("f").alias("f"), F.grouping_id().alias("gid"))
-    used = F.lit(len(shorter)) - F.bit_count("gid")  # words of the prefix: the bits of rolled columns are set
-    prefix = F.slice(F.array(*shorter), 1, used.cast("int")).alias("words")
-    both = summed.select("lang", prefix, "f").unionByName(whole)
-    # A prefix that reaches past its piece's end is no phrase. The test names f, or it would move below one of the two uses
-    # of `longest`, whose counts would then be made twice.
+    met = windows(docs, max_words).repartition("lang", *names[:2])  # prefixes of two words and more are sums within partitions
+    longest = met.groupBy("lang", *names).agg(F.sum("n").alias("f"))
+    total = F.sum("f").alias("f")
+    short = longest.groupingSets([["lang", "w1"], ["lang"]], "lang", "w1").agg(total)  # GROUP BY lang, ROLLUP (w1)
+    counts = short.select("lang", F.array_compact(F.array("w1")).alias("words"), "f")
+    # each level groups `longest`, whose shuffle is made once: Spark would cut columns from a level that didn't
+    for k in range(max_words, 1, -1):
+        level = longest if k == max_words else longest.groupBy("lang", *names[:k]).agg(total)
+        counts = counts.unionByName(level.select("lang", F.array(*names[:k]).alias("words"), "f"))
+    # A prefix that reaches past its piece's end is no phrase. The test names f, or it would move below a level's shuffle too.
     padded = F.size("words") > F.size(F.array_compact("words"))
-    return both.where((F.size("words") == 0) | (F.when(padded, 0).otherwise(F.col("f")) >= min_count))
+    return counts.where((F.size("words") == 0) | (F.when(padded, 0).otherwise(F.col("f")) >= min_count))
 
 
 def _joined(words: Column) -> Column:
