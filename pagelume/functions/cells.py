@@ -105,12 +105,9 @@ def norm_lines(c: Column) -> Column:
 def unique_ci(values: Column) -> Column:
     """Without regard to case, the first spelling of each, blanks dropped, order kept."""
     trimmed = F.filter(F.transform(values, trim_ws), lambda x: x.isNotNull() & (x != ""))
-    return F.aggregate(
-        trimmed,
-        F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("kept")),
-        lambda a, x: F.when(F.array_contains(a["keys"], F.lower(x)), a).otherwise(F.struct(F.array_append(a["keys"], F.lower(x)).alias("keys"), F.array_append(a["kept"], x).alias("kept"))),
-        lambda a: a["kept"],
-    )
+    keyed = F.array_sort(F.transform(trimmed, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v"))))
+    first = lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["k"] != e["k"]))
+    return let(keyed, lambda s: F.transform(F.array_sort(F.transform(first(s), lambda e: F.struct(e["i"], e["v"]))), lambda e: e["v"]))
 
 
 def join_values(values: Column) -> Column:

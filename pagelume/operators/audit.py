@@ -6,7 +6,8 @@ Responses are (page_id, url, html) and, where they differ from the defaults, fin
 canonical form of its url; of several the least page_id.
 
 Scale: HTML is read in scans only. What is joined are narrow rows: facts of a response, its scored links, its signals. A site
-is worked out once, however many rows ask for it, and has at most `most` pages, so no group grows with a site.
+is worked out once, however many rows ask for it, and has at most `most` pages, so no group grows with a site. Facts, entries
+and pages of sites are checkpoints of narrow rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.cells import let, unique_ci
+from ..sources.tables import cut
 from .pages import SIGNALS, Terms, crawl_link_score, ecom_score, page_signals, site_fit
 
 #: Pages of a site that are looked at, and links of its entry page that are tried.
@@ -67,12 +69,12 @@ def entry_pages(sites: DataFrame, facts: DataFrame) -> DataFrame:
     return settled.unionByName(keyed.where("key is null").select("site", "p", F.col("p.status").alias("http_status"))).select("site", "p.*")
 
 
-def crawl_links(stored: DataFrame) -> DataFrame:
-    """C10, D12 of single pages: page_id, candidate, score: links to the page's own domain, the best score of each, and the common paths without a link."""
+def crawl_links(stored: DataFrame, score=crawl_link_score, keep_query: bool = False) -> DataFrame:
+    """C10, C11, D12, D13 of single pages: page_id, candidate, score: links to the page's own domain, the best score of each, and the common paths without a link."""
     here = F.col("final_url")
     base = stored.select("page_id", "final_url", U.registered_domain(here).alias("own"), H.anchor_array(F.col("html")).alias("a"))
     own = lambda u: F.col("own").isNull() | F.coalesce(U.registered_domain(u) == F.col("own"), F.lit(False))
-    link = lambda a: let(U.resolve_href(here, a["href"]), lambda u: F.struct(u.alias("candidate"), F.when(own(u), crawl_link_score(u, a["text"])).alias("score")))
+    link = lambda a: let(U.resolve_href(here, a["href"], keep_query), lambda u: F.struct(u.alias("candidate"), F.when(own(u), score(u, a["text"])).alias("score")))
     links = base.select("page_id", F.inline(F.transform("a", link))).where("candidate is not null and score > 0")
     return links.groupBy("page_id", "candidate").agg(F.max("score").alias("score"))
 
@@ -120,9 +122,9 @@ def audit_sites(requested: DataFrame, stored: DataFrame, terms: Terms = Terms(),
     stored = responses(stored)
     wanted = requested.select("row_idx", F.col("url").alias("requested_url"), U.normalize_url(F.col("url")).alias("site"))
     sites = wanted.where("site is not null").select("site").distinct()
-    facts = response_facts(stored)
-    entries = entry_pages(sites, facts)
-    pages = site_pages(entries, stored, facts, common)
+    facts = cut(response_facts(stored))
+    entries = cut(entry_pages(sites, facts))
+    pages = cut(site_pages(entries, stored, facts, common))
     signals = page_signals(stored.select("page_id", F.col("final_url").alias("url"), "html"), terms).drop("domain", "url").withColumn("score", ecom_score())
     read = pages.where("analyzable").join(signals, "page_id")
     rolled = site_verdicts(read)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.cells import let, unique_ci
+from ..functions.cells import let, trim_ws
 
 SIGNALS = (
     "has_catalog", "has_cart", "has_checkout", "has_buy_button", "has_price", "has_product_page", "has_structured_product_data",
@@ -87,13 +87,22 @@ def ecom_score() -> Column:
     return sum((F.when(F.col(s), w).otherwise(0) for s, w in WEIGHTS.items()), F.lit(0))
 
 
-def site_signals(signals: DataFrame) -> DataFrame:
-    """A5: by site, the disjunction of the booleans, the lists in page order, pages with a score, the score of the whole."""
+def site_signals(signals: DataFrame, most: int = 1000) -> DataFrame:
+    """A5: by site, the disjunction of the booleans, the first `most` values of the lists in page order, pages with a score, the
+    score of the whole. Values are brought together by first occurrence, so what a site gathers grows with its different
+    values, not with its pages."""
     by_page = signals.withColumn("score", ecom_score())
-    lists = F.array_sort(F.collect_list(F.when((F.size("marketplace_links") > 0) | (F.size("hacked_terms") > 0), F.struct("page_id", "marketplace_links", "hacked_terms"))))
-    rolled = by_page.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("score") > 0).alias("evidence_pages"), *[F.bool_or(s).alias(s) for s in SIGNALS], lists.alias("lists"))
-    gathered = lambda name: unique_ci(F.flatten(F.transform("lists", lambda x: x[name])))
-    return rolled.select("domain", "pages", "evidence_pages", *SIGNALS, gathered("marketplace_links").alias("marketplace_links"), gathered("hacked_terms").alias("hacked_terms"), ecom_score().alias("ecom_score"))
+    rolled = by_page.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("score") > 0).alias("evidence_pages"), *[F.bool_or(s).alias(s) for s in SIGNALS])
+    kinds = ("marketplace_links", "hacked_terms")
+    listed = signals.select("domain", "page_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("vs")) for k in kinds])))
+    values = listed.select("domain", "page_id", "kind", F.posexplode("vs").alias("pos", "value")).withColumn("value", trim_ws(F.col("value"))).where("value <> ''")
+    first = values.groupBy("domain", "kind", F.lower("value").alias("key")).agg(F.min(F.struct("page_id", "pos", "value")).alias("first"))
+    kept = first.withColumn("nth", F.row_number().over(Window.partitionBy("domain", "kind").orderBy("first"))).where(F.col("nth") <= most)
+    gathered = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("nth", "first.value")))), lambda x: x["value"]).alias(k)
+    lists = kept.groupBy("domain").agg(*[gathered(k) for k in kinds]).withColumnRenamed("domain", "of")
+    joined = rolled.join(lists, F.col("domain").eqNullSafe(F.col("of")), "left")
+    some = lambda k: F.coalesce(k, F.array().cast("array<string>")).alias(k)
+    return joined.select("domain", "pages", "evidence_pages", *SIGNALS, *[some(k) for k in kinds], ecom_score().alias("ecom_score"))
 
 
 def site_fit() -> Column:

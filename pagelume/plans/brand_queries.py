@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.cells import computed
 from ..operators import brands as B
+from ..operators import enrichment as EN
 from .bindings import RESULTS_SQL, load, search_results
 
 
@@ -134,6 +135,49 @@ def brand_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MATCHES = r"WITH h AS (SELECT page_id, regexp_extract(regexp_extract(url, '^https?://([^/?#]*)', 1), '([^.]+\.[^.]+)$', 1) AS d FROM pages) SELECT a.page_id AS brand_id, count(*) AS n FROM h a JOIN h b ON b.d IN (split_part(a.d, '.', 1) || '.ru', split_part(a.d, '.', 1) || '.com') GROUP BY 1"
 
-_PAIRS = [(candidate_scores, SCORES), (ranked_candidates, RANKED), (confidences, CONFIDENCES), (enrichment_summary, SUMMARY), (flat_enrichment, FLAT), (direct_candidates, DIRECT), (first_results, FIRST), (source_cascade, CASCADE), (brand_matches, MATCHES), (brand_keys, KEYS)]
+def _enrichment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Brands made of customers, results of their orders, and pages: the first guess of every third customer, another guess
+    of every sixth, the contact page of every second one of these, and the front pages of thirteen shops."""
+    c = load(spark, sf_dir, "customer")
+    i, digits = F.col("c_custkey"), F.regexp_replace("c_name", "^.*#", "")
+    named = search_results(spark, sf_dir)
+    brands = c.select(i.alias("row_idx"), i.cast("string").alias("number"), F.regexp_replace("c_name", "#", " ").alias("brand"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "Косметика").when(F.col("c_mktsegment") == "MACHINERY", "Одежда").otherwise(F.col("c_mktsegment")).alias("segment"), F.concat(F.lit("P"), (i % 3).cast("string")).alias("priority"))
+    results = named.select(F.col("brand_id").alias("row_idx"), F.col("engine_ord").cast("int").alias("engine_ord"), F.when(F.col("rank") % 9 == 0, 0).otherwise(1).alias("query_ord"), F.col("rank"), "url", "title", "snippet")
+    page = lambda url, title, text: (url.alias("url"), F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body><p>"), text, F.lit("</p></body></html>")).alias("html"))
+    name = F.regexp_replace("c_name", "#", " ")
+    first = c.where("c_custkey % 3 = 0").select((i * 3).alias("page_id"), *page(F.concat(F.lit("https://customer"), digits, F.lit(".ru/")), name, F.concat(F.lit("mail info@customer"), digits, F.lit(".ru "), F.when(i % 2 == 0, F.lit('<a href="/kontakty/">x</a>')).otherwise(""))))
+    other = c.where("c_custkey % 6 = 1").select((i * 3 + 1).alias("page_id"), *page(F.concat(F.lit("https://customer-"), digits, F.lit(".com/")), F.lit(""), F.lit("nothing here")))
+    contact = c.where("c_custkey % 6 = 0").select((i * 3 + 2).alias("page_id"), *page(F.concat(F.lit("https://customer"), digits, F.lit(".ru/contacts")), name, F.concat(F.lit("ООО Ромашка, ИНН 77"), F.substring(digits, -8, 8), F.lit(" тел. 8 (800) 555-35-"), F.lpad((i % 100).cast("string"), 2, "0"))))
+    shops = spark.range(13).select((-F.col("id") - 1).alias("page_id"), *page(F.concat(F.lit("https://customer"), F.col("id").cast("string"), F.lit(".ru/")), F.lit("shop"), F.concat(F.lit("sale@customer"), F.col("id").cast("string"), F.lit(".ru"))))
+    return brands, results, first.unionByName(other).unionByName(contact).unionByName(shops)
+
+
+def enriched_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 - D17, D19, J7, C12 - C16, D13, E23, K7 end to end: the table of seventeen columns."""
+    return B.flatten_enrichment(EN.enrich_brands(*_enrichment(spark, sf_dir))).select("row_idx", *EN.TABLE)
+
+
+ENRICHED = f"""
+WITH {RESULTS_SQL}, b AS (SELECT c_custkey AS i, right(c_name, 9) AS d, replace(c_name, '#', ' ') AS brand, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Косметика' WHEN 'MACHINERY' THEN 'Одежда' ELSE c_mktsegment END AS segment FROM customer),
+a AS (SELECT brand_id AS i, 0 AS stage, 0 AS q, 0 AS place, url, title, greatest(score, 120 - rank) AS score FROM c WHERE score > 0 AND rank % 9 = 0 QUALIFY row_number() OVER (PARTITION BY brand_id ORDER BY engine_ord, rank) = 1),
+g AS (SELECT i, 1 AS stage, 0 AS q, CASE WHEN i % 3 = 0 THEN 0 ELSE 3 END AS place, CASE WHEN i % 3 = 0 THEN 'https://customer' || d || '.ru/' ELSE 'https://customer-' || d || '.com/' END AS url,
+  CASE WHEN i % 3 = 0 THEN brand ELSE 'customer-' || d || '.com' END AS title, 44 + 8 + 18 + CASE WHEN i % 3 = 0 THEN 8 ELSE 0 END AS score FROM b WHERE (i % 3 = 0 OR i % 6 = 1) AND i NOT IN (SELECT i FROM a)),
+e AS (SELECT brand_id AS i, engine_ord, url, score, title, CASE WHEN rank % 9 = 0 THEN 0 ELSE 1 END AS q, rank FROM c WHERE score > 0 AND brand_id NOT IN (SELECT i FROM a) AND brand_id NOT IN (SELECT i FROM g)),
+o AS (SELECT * FROM e WHERE engine_ord = 0 QUALIFY row_number() OVER (PARTITION BY i, url ORDER BY q, rank) = 1),
+t2 AS (SELECT * FROM e WHERE engine_ord = 1 AND i NOT IN (SELECT i FROM o WHERE score >= 45) AND (i, url) NOT IN (SELECT (i, url) FROM o) QUALIFY row_number() OVER (PARTITION BY i, url ORDER BY q, rank) = 1),
+u AS (SELECT i, stage, q, place, url, title, score FROM a UNION ALL SELECT * FROM g UNION ALL SELECT i, 2, q, rank, url, title, score FROM o UNION ALL SELECT i, 3, q, rank, url, title, score FROM t2),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, length(url), stage, q, place) AS nth FROM u QUALIFY nth <= 8),
+l AS (SELECT i, string_agg(score || ': ' || url, '; ' ORDER BY nth) AS candidates FROM k GROUP BY i),
+w AS (SELECT b.*, k.url, k.title, k.score, k.stage = 1 AND b.i % 3 = 0 AS own, regexp_extract(k.url, '^https://customer([0-9]+)[.]ru/$', 1) AS shop FROM b LEFT JOIN k ON b.i = k.i AND nth = 1),
+x AS (SELECT *, CASE WHEN own THEN 'info@customer' || d || '.ru' WHEN length(shop) BETWEEN 1 AND 2 THEN 'sale@customer' || shop || '.ru' ELSE '' END AS emails, CASE WHEN own AND i % 2 = 0 THEN '+7 800 555-35-' || lpad((i % 100)::VARCHAR, 2, '0') ELSE '' END AS phones,
+  CASE WHEN own AND i % 2 = 0 THEN '77' || right(d, 8) ELSE '' END AS inns FROM w)
+SELECT i AS row_idx, i::VARCHAR AS number, brand, segment, 'P' || (i % 3) AS priority, CASE WHEN url IS NULL THEN 'NOT_FOUND' WHEN emails <> '' THEN 'FOUND_CONTACTS' ELSE 'FOUND_SITE_CHECK_CONTACTS' END AS status,
+  CASE WHEN url IS NULL THEN 0 ELSE least(100, least(score, 70) + CASE WHEN emails <> '' THEN 12 ELSE 0 END + CASE WHEN phones <> '' THEN 10 ELSE 0 END + CASE WHEN inns <> '' THEN 8 ELSE 0 END) END::INTEGER AS confidence,
+  url AS website, regexp_extract(url, '^https://([^/]+)', 1) AS domain, title, emails, phones, inns, CASE WHEN inns <> '' THEN 'ООО Ромашка, ИНН ' || inns || ' тел. 8 (800) 555-35-' || lpad((i % 100)::VARCHAR, 2, '0') ELSE '' END AS legal_entities, '' AS social_links,
+  CASE WHEN own AND i % 2 = 0 THEN url || '; ' || url || 'contacts' WHEN own OR length(shop) BETWEEN 1 AND 2 OR stage1 THEN url ELSE '' END AS checked_pages, coalesce(candidates, '') AS candidates, '' AS errors
+FROM (SELECT x.*, coalesce(url LIKE 'https://customer-%.com/', false) AS stage1 FROM x) LEFT JOIN l USING (i)
+"""
+
+_PAIRS = [(candidate_scores, SCORES), (ranked_candidates, RANKED), (confidences, CONFIDENCES), (enrichment_summary, SUMMARY), (flat_enrichment, FLAT), (direct_candidates, DIRECT), (first_results, FIRST), (source_cascade, CASCADE), (brand_matches, MATCHES), (brand_keys, KEYS), (enriched_brands, ENRICHED)]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

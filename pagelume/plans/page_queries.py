@@ -12,6 +12,7 @@ from ..functions.markup import NAMED
 from ..operators import audit as A
 from ..operators import outcomes as O
 from ..operators import pages as P
+from ..operators import suffixes as SU
 from .bindings import PAGE_TERMS, load, seller_pages
 
 ENT = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -174,6 +175,24 @@ WITH {SITES_SQL} SELECT domain, pages, evidence_pages, ecom_score::INTEGER AS ec
 """
 
 
+#: Rules under which the pages' hosts fall in each kind: plain of one and two labels, wildcard, exception, none.
+SUFFIX_RULES = ("com", "example.com", "*.net", "!example.net", "*.example.org")
+
+
+def suffix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U5 by a table of rules."""
+    rules = SU.rules_of(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
+    return SU.with_domain(load(spark, sf_dir, "pages").select("page_id", "url"), F.col("url"), rules).select("page_id", "domain")
+
+
+SUFFIX_DOMAINS = r"""
+SELECT page_id, nullif(CASE WHEN h LIKE '%.example.com' OR h = 'example.com' THEN regexp_extract(h, '([^.]+[.]example[.]com)$', 1) WHEN h LIKE '%.com' THEN regexp_extract(h, '([^.]+[.]com)$', 1)
+  WHEN h LIKE '%example.net' THEN regexp_extract(h, '(example[.]net)$', 1) WHEN h LIKE '%.net' THEN regexp_extract(h, '([^.]+[.][^.]+[.]net)$', 1)
+  WHEN h LIKE '%.example.org' THEN regexp_extract(h, '([^.]+[.][^.]+[.]example[.]org)$', 1) ELSE regexp_extract(h, '([^.]+[.][^.]+)$', 1) END, '') AS domain
+FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS h FROM pages)
+"""
+
+
 def site_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 over the audit."""
     return page_audit(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -432,8 +451,8 @@ SELECT event_id AS page_id, CASE event_type WHEN 'click' THEN 'https://www.wildb
   CASE event_type WHEN 'click' THEN 'Item Shop Shop' WHEN 'view' THEN 'Item Shop' WHEN 'purchase' THEN 'Item Shop' ELSE 'Item' END AS snippet FROM events
 """
 
-QUERIES = {f.__name__: f for f in (page_audit, html_text, odd_pages, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, site_audits, term_hits, seller_links)}
+QUERIES = {f.__name__: f for f in (page_audit, html_text, odd_pages, suffix_domains, page_anchors, page_signals, site_status_counts, crawl_plan, contact_plan, crawl_resolved, email_texts, site_contacts, requisites, parse_outcomes, outcome_counts, audited_rows, site_audits, term_hits, seller_links)}
 ORACLES = {
-    "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "odd_pages": ODD_PAGES, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN, "crawl_resolved": CRAWL_RESOLVED,
+    "page_audit": PAGE_AUDIT, "html_text": HTML_TEXT, "odd_pages": ODD_PAGES, "suffix_domains": SUFFIX_DOMAINS, "page_anchors": PAGE_ANCHORS, "page_signals": PAGE_SIGNALS, "site_status_counts": f"SELECT status, count(*) AS n FROM ({PAGE_AUDIT}) GROUP BY status", "crawl_plan": CRAWL_PLAN, "contact_plan": CONTACT_PLAN, "crawl_resolved": CRAWL_RESOLVED,
     "email_texts": EMAIL_TEXTS, "requisites": REQUISITES, "parse_outcomes": PARSE_OUTCOMES, "outcome_counts": f"SELECT parse_status, count(*) AS n, sum(score) AS score FROM ({PARSE_OUTCOMES}) GROUP BY 1", "audited_rows": AUDITED_ROWS, "site_audits": SITE_AUDITS, "term_hits": TERM_HITS, "seller_links": SELLER_LINKS,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,3 +138,16 @@ def to_batch_schema(rows: DataFrame) -> DataFrame:
 def write_json(rows: DataFrame, path: str) -> None:
     """K8: one JSON document a row."""
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the cluster's shared folder: later jobs read it and don't plan or make it again. Where no folder is
+    set: a temporary one in local mode (tests), else an error, since executors wouldn't see a folder of the driver."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
