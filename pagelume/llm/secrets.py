@@ -44,21 +44,23 @@ TREES, DEPTH = 30, 7
 THRESHOLD = 0.5
 MASK = "<SECRET>"
 
-#: Formats of providers, assignments to telling names, and long mixed runs.
+#: Formats of providers, assignments to telling names (a quoted value without blanks to its closing quote), and long mixed
+#: runs. None of them looks at a run again from a later place of it, so a scan takes time in proportion to the text.
 PATTERNS = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----"),
+    # from BEGIN to END, whatever header lines (of encrypted keys) or blocks (of PGP) stand between; never past another mark
+    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"),
     ("aws", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("github", r"gh[pousr]_[A-Za-z0-9]{30,}"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google", r"AIza[0-9A-Za-z_-]{35}"),
     ("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+"),
 )
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer"
 FORMATS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: The cheap part of each format, looked for before the whole.
 HINTS = re.compile("AKIA|ASIA|gh[pousr]_|xox|AIza|[sr]k_|eyJ|-----BEGIN")
-ASSIGNED = re.compile(rf"(?:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}[\"']?(?P<assigned>[^\s\"',;<>]{{6,}})", re.I)
+ASSIGNED = re.compile(rf"(?:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}(?:\"(?P<double>[^\"\s]{{6,}})\"|'(?P<single>[^'\s]{{6,}})'|[\"']?(?P<assigned>[^\s\"',;<>]{{6,}}))", re.I)
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 NEAR = re.compile(rf"(?:{NAMES})", re.I)
 DIGESTS = re.compile(r"\b(?:sha\d*|md5|commit|digest|checksum|hash|etag|uuid|guid|revision|build|integrity)\b", re.I)
@@ -116,7 +118,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), disjoint and in order."""
     found = [(m.start(), m.end(), m.lastgroup) for m in FORMATS.finditer(text)] if HINTS.search(text) else []
     if NEAR.search(text):
-        found += [(*m.span("assigned"), "assigned") for m in ASSIGNED.finditer(text)]
+        found += [(*m.span(m.lastgroup), "assigned") for m in ASSIGNED.finditer(text)]
     for m in LONG.finditer(text):
         s = m[0]
         if not s.isalpha() and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
