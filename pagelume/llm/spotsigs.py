@@ -6,9 +6,9 @@ the sorted set of 32-bit signature hashes, written as hexadecimal.
 
 Comparison: sets are partitioned by length, in steps of the least likeness that counts, so that sets which are more than
 one partition apart are never compared; of the others, those are dropped whose lengths or whose prefixes (of which any
-two similar sets share a signature) rule that likeness out, and the rest have their Jaccard likeness. The query compares the
-pairs that it is given in this way from FLOOR on: a smaller likeness is 0, and further columns tell the partitions and what
-was pruned. spot_join() is the general self-join with classes and numbers of links; no query runs it.
+two similar sets share a signature) rule that likeness out, and the rest have their Jaccard likeness. spot_join() is this
+self-join with classes and numbers of links; no query runs it. The query's pairs are given, and it reports the likeness of
+each; further columns tell the length partition and whether the join would have pruned the pair.
 
 Scale: keys of texts (ids and hashes) are ordered by Spark's range partitioning and numbered within its partitions. The
 numbers send each text once to a cell of CELL_ROWS neighbours, and the first one of a cell to the cell before it too, so a
@@ -43,8 +43,8 @@ ANCHORS = tuple(
     ).split()
 )
 CELL_ROWS = 2_000
-#: Likeness from which the query's pairs are compared.
-FLOOR = 0.05
+#: Likeness from which texts are near copies.
+ALIKE = 0.8
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
@@ -161,5 +161,9 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", 1, F.length("text") - third), F.substring("next_text", 1, third))
     made = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), F.col("sigs").alias("s"), signatures(edited).alias("e"), F.col("next_sigs").alias("x"))
-    made = made.withColumn("near", F.struct(pruned_likeness(F.col("s"), F.col("e"), FLOOR).alias("e"), pruned_likeness(F.col("s"), F.col("x"), FLOOR).alias("x")))
-    return made.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), F.col("near.e.likeness").alias("near_edited"), F.col("near.x.likeness").alias("near_next"), part_of(F.size("s"), FLOOR).alias("length_part"), F.col("near.e.pruned").alias("pruned_edited"), F.col("near.x.pruned").alias("pruned_next"))
+    pruned = lambda c: pruned_likeness(F.col("s"), F.col(c), ALIKE)["pruned"]
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
+        likeness(F.col("s"), F.col("e")).cast("double").alias("near_edited"), likeness(F.col("s"), F.col("x")).cast("double").alias("near_next"),
+        part_of(F.size("s"), ALIKE).alias("length_part"), pruned("e").alias("pruned_edited"), pruned("x").alias("pruned_next"),
+    )
