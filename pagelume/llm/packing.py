@@ -237,18 +237,21 @@ def pack(df: DataFrame, length: int = LENGTH, vocabulary: str = "word_bpe_49k.js
     path = vocabulary_path(vocabulary)
     df = df.select("doc_id", "text")
     kind = df.schema["doc_id"].dataType
-    arrow = pa.schema([("doc_id", pa.int64() if kind.typeName() in ("long", "bigint") else pa.int32() if kind.typeName() == "integer" else pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         packer = Packer(length, TaskContext.get().partitionId(), with_ids)
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*packer.rows, strict=True)) or [[] for _ in arrow]
+        def flush(id_type: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*packer.rows, strict=True)) or [[] for _ in names]
             packer.rows = []
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            types = [id_type, *[pa.int64()] * 6, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
+        id_type = None
         for batch in batches:
+            id_type = batch.column(0).type
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 ids = words.encode([t or "" for t in part.column(1).to_pylist()])
@@ -256,9 +259,10 @@ def pack(df: DataFrame, length: int = LENGTH, vocabulary: str = "word_bpe_49k.js
                     tokens = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
                     packer.add(doc_id, tokens, *cut_points(tokens, words.stops, min(HARD_EVERY, length)))
                 if len(packer.rows) >= 5_000:
-                    yield flush()
+                    yield flush(id_type)
         packer.solve(True)
-        yield flush()
+        if id_type is not None:
+            yield flush(id_type)
 
     return df.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 

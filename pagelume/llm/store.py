@@ -15,12 +15,15 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder of our own only where it is unset (tests)."""
+    """The cluster's spark.checkpoint.dir. Where it is unset: a temporary folder in local mode (tests), else an error, since
+    executors wouldn't see a folder of the driver."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -58,6 +58,12 @@ def test_packing_is_whole_and_tight(spark, docs):
                 at += n
             assert at <= length
     assert packing.pack(docs.limit(0)).count() == 0
+    for kind in ("short", "decimal(20,2)", "string", "date", "binary", "array<int>", "struct<a:int,b:string>"):
+        typed = docs.select(F.expr("case when doc_id is null then null else 1 end").alias("i"), "text")
+        value = {"date": "date'2024-01-01'", "binary": "cast('a' as binary)", "array<int>": "array(i)", "struct<a:int,b:string>": "named_struct('a', i, 'b', 'x')"}.get(kind, f"cast(i as {kind})")
+        typed = typed.select(F.expr(f"case when i is not null then {value} end").alias("doc_id"), "text")
+        pieces = packing.pack(typed)
+        assert pieces.schema["doc_id"].dataType.simpleString() == typed.schema["doc_id"].dataType.simpleString() and pieces.count() >= len(ODD)
 
 
 def test_cuts_are_optimal():
