@@ -30,7 +30,7 @@ SHOP_PATHS = ("/catalog/", "/catalog", "/shop/", "/shop", "/products/", "/produc
 OFF_TOPIC_LINKS = ("blog", "news", "contacts", "about", "vacancy", "privacy", "policy")
 FILE_EXTENSIONS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip", ".rar", ".jpg", ".jpeg", ".png", ".webp", ".gif", ".svg")
 CONTACT_FILE_EXTENSIONS = (".pdf", ".jpg", ".png", ".zip", ".rar", ".xlsx")
-LOADING_TITLES = ("loading", "загрузка", "please wait")
+LOADING_TITLES = ("loading...", "загрузка...")
 
 # Domains.
 MARKETPLACE_A = ("wildberries.ru", "www.wildberries.ru", "wb.ru", "www.wb.ru")
