@@ -96,3 +96,17 @@ def test_ends_that_are_missing(spark):
 def test_attributes(spark):
     df = spark.createDataFrame([('<a b=1 href="x"',), ("<a href='y' href=z",), ("<a hrefx=1",), ("<a href=",), ("<a c='href=1'/href=2",)], "t string")
     assert [r[0] for r in df.select(markup.attribute(F.col("t"), "href")).collect()] == ["x", "y", None, "", "2"]
+
+
+def test_time_grows_with_the_page_not_with_its_square(spark):
+    """4,000 entities and 1,000 links on one page: the page was scanned again for each of them (minutes)."""
+    import time
+
+    items = "".join(f'<p>a&amp;b &#8381; &nosuch; c&lt;</p><a href="/x?i={i}&amp;j=1">l &hellip;</a>' for i in range(1000))
+    page = spark.createDataFrame([(f"<html><body>{items}</body></html>",)], "html string")
+    began = time.time()
+    text, links = page.select(H.html_text(F.col("html")), H.anchor_array(F.col("html"))).first()
+    took = time.time() - began
+    assert text == " ".join(["a&b ₽ &nosuch; c< l …"] * 1000)
+    assert [tuple(x) for x in links] == [(f"/x?i={i}&j=1", "l …") for i in range(1000)]
+    assert took < 20
