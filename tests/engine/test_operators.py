@@ -193,3 +193,22 @@ def test_a_replacement_that_stops_is_undone(spark, tmp_path):
     os.rename(path, f"{path}.old-1")
     S.replace_table(spark.range(7), path)
     assert S.load_table(spark, path, "id long").count() == 7 and os.listdir(tmp_path) == ["t"]
+
+
+def test_brand_matches_are_counted_without_pairs(spark, tmp_path):
+    """100,000 pages of one host: 10 billion pairs of brand and page, which were made one by one."""
+    import time
+
+    from pagelume.operators import brands as B
+    from pagelume.plans.brand_queries import brand_matches
+
+    names = [(0, "don't rocs & lab", "x"), (1, "ROCS", "x"), (2, "", "x"), (3, None, "x"), (4, "Kosmetika one", "y"), (5, "rocs", "z"), (5, "rocs", "z")]
+    urls = ["https://rocs.ru/a", "https://www.rocs.ru/", "https://rocsshop.com/", "http://cosmetikaone.com/x", "https://kosmetikaone.ru", "https://other.org/", "bad", None]
+    brands, pages = spark.createDataFrame(names, "brand_id int, brand string, segment string"), spark.createDataFrame([(i, u, "<title>t</title>") for i, u in enumerate(urls)], "page_id int, url string, html string")
+    pairs = {r.brand_id: r["count"] for r in B.match_brands(brands, pages).groupBy("brand_id").count().collect()}
+    assert pairs and {r.brand_id: r.n for r in B.count_matches(brands, pages).collect()} == pairs
+
+    spark.range(100_000).select(F.col("id").alias("page_id"), F.lit("https://www.shop.com/").alias("url"), F.lit("").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    began = time.time()
+    assert [tuple(r) for r in brand_matches(spark, str(tmp_path)).groupBy("n").count().collect()] == [(100_000, 100_000)]
+    assert time.time() - began < 90
