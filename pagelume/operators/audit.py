@@ -20,7 +20,7 @@ from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.cells import let, unique_ci
-from ..sources.tables import cut
+from ..sources.tables import cut, growing
 from .pages import SIGNALS, Terms, crawl_link_score, ecom_score, page_signals, site_fit
 
 #: Pages of a site that are looked at, and links of its entry page that are tried.
@@ -60,12 +60,12 @@ def entry_pages(sites: DataFrame, facts: DataFrame) -> DataFrame:
     """Of each site (a normalised address) the first of its variants that answers without an error, else the first
     that answers; a blocked or loading page gives way to its rendered response where one is stored."""
     variants = sites.select("site", F.posexplode(U.entry_variants(F.col("site"))).alias("nth", "variant")).withColumn("key", U.canonical_url(F.col("variant")))
-    answers = variants.join(facts.where("not rendered"), "key")
+    answers = variants.join(growing(facts.where("not rendered")), "key")
     best = F.struct((F.col("status") >= 400).alias("bad"), "nth")
     first = answers.groupBy("site").agg(F.min_by(F.struct(*FACTS), best).alias("p"), F.min_by("variant", best).alias("variant"))
     keyed = first.withColumn("key", F.when(F.col("p.again"), U.canonical_url(F.col("p.final_url"))))
     shown = facts.where("rendered").select("key", F.struct(*FACTS).alias("shown"))
-    settled = keyed.where("key is not null").join(shown, "key", "left").select("site", F.coalesce("shown", "p").alias("p"), F.col("p.status").alias("http_status"))
+    settled = keyed.where("key is not null").join(growing(shown), "key", "left").select("site", F.coalesce("shown", "p").alias("p"), F.col("p.status").alias("http_status"))
     return settled.unionByName(keyed.where("key is null").select("site", "p", F.col("p.status").alias("http_status"))).select("site", "p.*")
 
 
@@ -83,13 +83,13 @@ def ranked_candidates(entries: DataFrame, links: DataFrame, common: tuple[str, .
     """site, rank, key: the k best candidates of each entry page, one for each canonical address, without the entry's own."""
     origin = F.concat(U.scheme(F.col("final_url")), F.lit("://"), U.host(F.col("final_url")))
     usual = F.transform(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(50 - i).alias("score")) for i, p in enumerate(common)]), lambda x: F.struct(F.concat(origin, x["p"]).alias("candidate"), x["score"].alias("score"), F.lit(1).alias("usual")))
-    found = entries.select("site", "page_id").join(links, "page_id").select("site", "candidate", "score", F.lit(0).alias("usual"))
+    found = entries.select("site", "page_id").join(growing(links), "page_id").select("site", "candidate", "score", F.lit(0).alias("usual"))
     both = found.unionByName(entries.select("site", F.inline(usual)))
     best = both.groupBy("site", "candidate").agg(F.min_by("score", "usual").alias("score"))
     order = Window.partitionBy("site").orderBy(F.desc("score"), F.length(U.path(F.col("candidate"))), "candidate")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     first = ranked.groupBy("site", U.canonical_url(F.col("candidate")).alias("key")).agg(F.min("rank").alias("rank"))
-    return first.join(entries.select("site", U.canonical_url(F.col("final_url")).alias("entry_key")), "site").where("key <> entry_key").drop("entry_key")
+    return first.join(growing(entries.select("site", U.canonical_url(F.col("final_url")).alias("entry_key"))), "site").where("key <> entry_key").drop("entry_key")
 
 
 def site_pages(entries: DataFrame, stored: DataFrame, facts: DataFrame, common: tuple[str, ...] = D.SHOP_PATHS, most: int = PAGES, k: int = CANDIDATES) -> DataFrame:
@@ -99,7 +99,7 @@ def site_pages(entries: DataFrame, stored: DataFrame, facts: DataFrame, common:
     candidates = ranked_candidates(opened, crawl_links(stored), common, k)
     good = facts.where("not rendered and readable and status < 400")
     order = Window.partitionBy("site").orderBy("rank")
-    more = candidates.join(good, "key").withColumn("nth", F.row_number().over(order)).where(F.col("nth") < most)
+    more = candidates.join(growing(good), "key").withColumn("nth", F.row_number().over(order)).where(F.col("nth") < most)
     return entries.select("site", F.lit(0).alias("nth"), *FACTS).unionByName(more.select("site", "nth", *FACTS))
 
 
@@ -126,12 +126,12 @@ def audit_sites(requested: DataFrame, stored: DataFrame, terms: Terms = Terms(),
     entries = cut(entry_pages(sites, facts))
     pages = cut(site_pages(entries, stored, facts, common))
     signals = page_signals(stored.select("page_id", F.col("final_url").alias("url"), "html"), terms).drop("domain", "url").withColumn("score", ecom_score())
-    read = pages.where("analyzable").join(signals, "page_id")
+    read = pages.where("analyzable").join(growing(signals), "page_id")
     rolled = site_verdicts(read)
 
     entry = entries.select("site", F.col("final_url").alias("entry_url"), F.col("title").alias("entry_title"), F.col("status").alias("http_status"))
     every = pages.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("nth", "final_url"))).alias("all"))
-    joined = wanted.join(entry, "site", "left").join(every, "site", "left").join(rolled, "site", "left")
+    joined = wanted.join(growing(entry), "site", "left").join(growing(every), "site", "left").join(growing(rolled), "site", "left")
     domain = F.coalesce(U.registered_domain(F.col("entry_url")), U.registered_domain(F.col("site")))
     joined = joined.withColumn("domain", domain).withColumn("fit", site_fit())
     none, read_any = F.col("entry_url").isNull(), F.col("checked").isNotNull()
@@ -162,4 +162,4 @@ def export_audit(source: DataFrame, audited: DataFrame) -> DataFrame:
     yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
     report = F.struct(F.col("status").alias("site_status"), F.col("reason").alias("site_reason"), "http_status", yes("has_marketplace_a").alias("marketplace_a"), yes("has_marketplace_b").alias("marketplace_b"), F.array_join("marketplace_links", "; ").alias("marketplace_links"))
     last = audited.groupBy("row_idx").agg(F.max_by(report, "requested_url").alias("r"))
-    return source.join(last, "row_idx", "left").select("r.*", *source.columns)
+    return source.join(growing(last), "row_idx", "left").select("r.*", *source.columns)

@@ -24,7 +24,7 @@ from ..functions import dictionaries as D
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.cells import computed, trim_ws, unique_ci
-from ..sources.tables import cut
+from ..sources.tables import cut, growing
 from . import brands as B
 from .audit import crawl_links, ranked_candidates, response_facts, responses
 from .domains import brand_addresses
@@ -44,7 +44,7 @@ def canonical(c: str = "url") -> Column:
 def scored_results(results: DataFrame, brands: DataFrame) -> DataFrame:
     """C12 of results with their brands: the acceptable ones, by (row_idx, engine_ord, query_ord, rank)."""
     url = U.normalize_url(U.unwrap_redirect(F.col("url")))
-    rows = results.join(brands.select("row_idx", "brand", "segment").dropDuplicates(["row_idx"]), "row_idx")
+    rows = results.join(growing(brands.select("row_idx", "brand", "segment").dropDuplicates(["row_idx"])), "row_idx")
     rows = rows.select("row_idx", "brand", "segment", "engine_ord", "query_ord", "rank", url.alias("url"), "title", "snippet").where("url is not null")
     named = F.coalesce(F.nullif(trim_ws(F.col("title")), F.lit("")), U.registered_domain(F.col("url")), F.col("url"))
     rows = rows.withColumn("title", named)
@@ -63,11 +63,11 @@ def first_results(results: DataFrame, brands: DataFrame) -> DataFrame:
 def guessed(brands: DataFrame, facts: DataFrame) -> DataFrame:
     """The guesses with a page and a score, up to the first batch of guesses with one of at least ENOUGH."""
     urls = brand_addresses(brands.select(F.col("row_idx").alias("brand_id"), "brand").dropDuplicates(["brand_id"])).withColumnRenamed("brand_id", "row_idx")
-    met = urls.select("row_idx", F.col("ord").alias("place"), U.canonical_url(F.col("url")).alias("key")).join(facts.where("not rendered and readable and status < 400"), "key")
+    met = urls.select("row_idx", F.col("ord").alias("place"), U.canonical_url(F.col("url")).alias("key")).join(growing(facts.where("not rendered and readable and status < 400")), "key")
     host = U.host(F.col("final_url"))
     met = met.select("row_idx", "place", F.col("final_url").alias("url"), F.coalesce("title", host).alias("title"))
     one = met.groupBy("row_idx", canonical().alias("canonical")).agg(F.min(F.struct("place", "url", "title")).alias("m")).select("row_idx", "m.*")
-    named = one.join(brands.select("row_idx", "brand", "segment").dropDuplicates(["row_idx"]), "row_idx")
+    named = one.join(growing(brands.select("row_idx", "brand", "segment").dropDuplicates(["row_idx"])), "row_idx")
     c = F.col
     good = computed(named, score=B.direct_score(c("brand"), c("segment"), c("url"), c("title"))).where("score is not null")
     good = good.withColumn("source_ord", F.ceil(F.col("place") / BATCH)).withColumn("brand_id", F.col("row_idx"))
@@ -77,7 +77,7 @@ def guessed(brands: DataFrame, facts: DataFrame) -> DataFrame:
 def of_engine(results: DataFrame, brands: DataFrame, engine: int, seen: DataFrame) -> DataFrame:
     """All acceptable results of an engine whose address no earlier source has, the first place of each address."""
     good = scored_results(results.where(F.col("engine_ord") == engine), brands).withColumn("canonical", canonical())
-    good = good.join(seen.select("row_idx", canonical().alias("canonical")).distinct(), ["row_idx", "canonical"], "left_anti")
+    good = good.join(growing(seen.select("row_idx", canonical().alias("canonical")).distinct()), ["row_idx", "canonical"], "left_anti")
     order = F.struct("query_ord", "rank", "url")
     one = good.groupBy("row_idx", "canonical").agg(F.min(F.struct(order.alias("o"), "title", "score")).alias("g")).select("row_idx", F.col("g.o.url").alias("url"), "g.title", "g.score", F.col("g.o").alias("o"))
     place = F.row_number().over(Window.partitionBy("row_idx").orderBy("o"))
@@ -96,14 +96,14 @@ def decided(candidates: DataFrame) -> DataFrame:
 def brand_candidates(brands: DataFrame, results: DataFrame, facts: DataFrame, most: int = MOST) -> DataFrame:
     """row_idx, nth (1 is the best), url, title, score: the candidates of each brand from the sources it needed."""
     first = cut(first_results(results, brands))
-    without = lambda rows, found: rows.join(found.select("row_idx").distinct(), "row_idx", "left_anti")
+    without = lambda rows, found: rows.join(growing(found.select("row_idx").distinct()), "row_idx", "left_anti")
     rest = without(brands, first)
     direct = cut(guessed(rest, facts))
     rest = without(rest, decided(direct))
-    one = cut(of_engine(results.join(rest.select("row_idx"), "row_idx", "left_semi"), rest, 0, direct))
+    one = cut(of_engine(results.join(growing(rest.select("row_idx")), "row_idx", "left_semi"), rest, 0, direct))
     so_far = direct.unionByName(best_of(one, most).drop("nth"))
     last = without(rest, decided(so_far))
-    two = of_engine(results.join(last.select("row_idx"), "row_idx", "left_semi"), last, 1, direct.unionByName(one))
+    two = of_engine(results.join(growing(last.select("row_idx")), "row_idx", "left_semi"), last, 1, direct.unionByName(one))
     every = first.unionByName(so_far).unionByName(best_of(two, most).drop("nth"))
     return best_of(every.select("row_idx", "stage", "place", "url", "title", F.col("score").cast("int").alias("score")), most)
 
@@ -122,11 +122,11 @@ def contact_pages(best: DataFrame, stored: DataFrame, facts: DataFrame) -> DataF
     """row_idx, nth, page_id, final_url: the best candidate's page and the first contact pages that answer; none
     where that page doesn't."""
     good = facts.where("not rendered and readable and status < 400").select("key", "page_id", "final_url")
-    entries = best.select("row_idx", U.canonical_url(F.col("url")).alias("key")).join(good, "key").select(F.col("row_idx").alias("site"), "page_id", "final_url")
+    entries = best.select("row_idx", U.canonical_url(F.col("url")).alias("key")).join(growing(good), "key").select(F.col("row_idx").alias("site"), "page_id", "final_url")
     links = crawl_links(stored, contact_link_score, keep_query=True)
     candidates = ranked_candidates(entries, links, D.COMMON_CONTACT_PATHS, SITE_PAGES)
     order = Window.partitionBy("site").orderBy("rank")
-    more = candidates.join(good, "key").withColumn("nth", F.row_number().over(order)).where(F.col("nth") < SITE_PAGES)
+    more = candidates.join(growing(good), "key").withColumn("nth", F.row_number().over(order)).where(F.col("nth") < SITE_PAGES)
     both = entries.select("site", F.lit(0).alias("nth"), "page_id", "final_url").unionByName(more.select("site", "nth", "page_id", "final_url"))
     return both.withColumnRenamed("site", "row_idx")
 
@@ -138,13 +138,13 @@ def enrich_brands(brands: DataFrame, results: DataFrame, stored: DataFrame, phon
     facts = cut(response_facts(stored))
     candidates = cut(brand_candidates(brands, results, facts))
     best = candidates.where("nth = 1")
-    pages = contact_pages(best, stored, facts).join(page_contacts(stored, phone), "page_id")
+    pages = contact_pages(best, stored, facts).join(growing(page_contacts(stored, phone)), "page_id")
     gathered = pages.groupBy("row_idx").agg(F.array_sort(F.collect_list(F.struct("nth", "final_url", *CONTACTS))).alias("seen"))
     joined = lambda kind: F.slice(unique_ci(F.flatten(F.transform("seen", lambda x: x[kind]))), 1, CONTACTS[kind])
     found = gathered.select("row_idx", *[joined(k).alias(k) for k in CONTACTS], F.transform("seen", lambda x: x["final_url"]).alias("checked_pages"))
     ranked = candidates.groupBy("row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "score", "url"))), lambda x: F.struct(x["score"], x["url"])).alias("candidates"))
     top = best.select("row_idx", F.col("url").alias("website"), U.registered_domain(F.col("url")).alias("domain"), "title", "score")
-    out = brands.join(top, "row_idx", "left").join(found, "row_idx", "left").join(ranked, "row_idx", "left")
+    out = brands.join(growing(top), "row_idx", "left").join(growing(found), "row_idx", "left").join(growing(ranked), "row_idx", "left")
     empty = F.array().cast("array<string>")
     lists = {k: F.coalesce(k, empty) for k in (*CONTACTS, "checked_pages")}
     return out.select(

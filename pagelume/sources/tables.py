@@ -140,6 +140,12 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never sent whole to the driver and to all executors. The planner goes by file sizes, which
+    say little of well compressed columns and of what is made from them, so it takes tables of any length for small ones."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the cluster's shared folder: later jobs read it and don't plan or make it again. Where no folder is
     set: a temporary one in local mode (tests), else an error, since executors wouldn't see a folder of the driver."""

@@ -56,3 +56,18 @@ def test_later_sources_only_where_needed(spark):
     assert E.enrich_brands(brands.limit(0), results, pages).count() == 0
     flat = E.B.flatten_enrichment(E.enrich_brands(brands, results, pages)).where(F.col("row_idx") == 2).first()
     assert flat.candidates.endswith(": https://boltworks.ru/") and len(flat) == 18
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Brands, results and pages grow, and no side of a join of theirs goes whole through the driver, however small it looks."""
+    from pagelume.operators import audit as A
+
+    brands = spark.createDataFrame([(1, "Trives", "x")], "row_idx int, brand string, segment string")
+    results = spark.createDataFrame([(1, 0, 0, 1, "https://trives.ru/", "Trives", "s")], "row_idx int, engine_ord int, query_ord int, rank int, url string, title string, snippet string")
+    stored = A.responses(spark.createDataFrame([(1, "https://trives.ru/", "<title>Trives</title>")], "page_id int, url string, html string"))
+    facts = A.response_facts(stored)
+    entries = A.entry_pages(brands.select(F.lit("https://trives.ru/").alias("site")), facts)
+    best = results.select("row_idx", "url")
+    for df in (E.scored_results(results, brands), E.guessed(brands, facts), E.of_engine(results, brands, 0, best), E.contact_pages(best, stored, facts), entries, A.site_pages(entries, stored, facts)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, plan[:2000]
