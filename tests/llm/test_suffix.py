@@ -88,3 +88,22 @@ def test_a_line_in_very_many_surroundings(spark, monkeypatch):
     assert len(got) == 4000 and all(r._n_spans == 1 and 250 <= r._n_removed <= 262 for r in got)
     kept = suffix_dedup.without_repeats(spark, docs.limit(50))
     assert kept.columns == docs.columns and {r._kept for r in kept.collect()} == {"k"}
+
+
+def test_phrases_of_triggers_without_others_are_not_moved(spark, monkeypatch):
+    """Copies share all their phrases: what they cover is known from counts, and the dictionary has the bytes of none."""
+    rows_of = {}
+    table = suffix_dedup.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "table", counted)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij ", k=3000)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(15)] + [(15, texts[0] + "end")], "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(spark, docs).collect()
+    assert all(r._n_removed == 3000 and r._n_spans == 1 for r in out)
+    assert rows_of["dictionary"] <= 4
